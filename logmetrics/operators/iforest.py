@@ -68,9 +68,9 @@ def iforest_threshold(
     Exact at any size: the two scores around the quantile are picked by
     position from a distributed order, not from one task's sorted copy.
     """
-    placed = row_index(scores.select(score, *tiebreak), score, *tiebreak)
+    placed = row_index(scores.select(score, *tiebreak), score, *tiebreak, name="_place")
     at = placed.agg(((F.count(F.lit(1)) - 1) * F.lit(1.0 - contamination)).alias("p")).scalar()
-    picked = placed.filter((F.col("idx") == F.floor(at)) | (F.col("idx") == F.ceil(at)))
+    picked = placed.filter((F.col("_place") == F.floor(at)) | (F.col("_place") == F.ceil(at)))
     return picked.agg(
         (
             F.min(score) + (F.max(score) - F.min(score)) * F.max(at - F.floor(at))

@@ -24,6 +24,8 @@ def row_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     The sorted rows are written once: sampled range bounds may differ between
     two runs of the same plan, and the counts must match the rows they number.
     """
+    if name in df.columns:
+        raise ValueError(f"column {name} exists")
     ordered = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)

@@ -7,8 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmetrics.functions.messages import DIGITS, PUNCTUATION
+from logmetrics.functions.messages import DIGITS, PUNCTUATION, tokenize_default
 from logmetrics.operators.intervals import Interval
+from logmetrics.operators.logs import build_log_frame
 from logmetrics.session import scratch_path
 
 
@@ -39,11 +40,15 @@ LOGS = """logs AS (
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_rows(events(spark, sf_dir))
+
+
+def log_rows(rows: DataFrame) -> DataFrame:
     message = F.concat(
         F.lit("localhost "), "event_type", F.lit("["), F.col("user_id").cast("string"),
         F.lit("]: "), "props",
     )
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.col("event_id").alias("seq"),
         F.col("ts").alias("log_time"),
         F.col("event_type").alias("log_type"),
@@ -77,9 +82,10 @@ minutes AS (
 
 
 def minute_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logmetrics.operators.logs import build_log_frame
+    return by_minute(build_log_frame(logs(spark, sf_dir)))
 
-    frame = build_log_frame(logs(spark, sf_dir))
+
+def by_minute(frame: DataFrame) -> DataFrame:
     return frame.select(
         F.date_trunc("minute", "time").cast("timestamp_ntz").alias("time"),
         "seq",
@@ -209,8 +215,6 @@ word_vectors AS (
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from logmetrics.functions.messages import tokenize_default
-
     words = (
         logs(spark, sf_dir)
         .select(F.explode(tokenize_default(F.col("message"))).alias("token"))

@@ -15,8 +15,13 @@ from logmetrics.sources.logs import ENVELOPE, envelope_rows
 def stream_last_per_key(
     stream: DataFrame, key: str = "time", seq: str = "seq", delay: str = "1 hour"
 ) -> DataFrame:
-    """Last non-null values per time key; a key is final ``delay`` after it."""
-    return last_per_key(stream.withWatermark(key, delay), key, seq)
+    """Last non-null values per time key; a key is final ``delay`` after it.
+
+    Watermarks need a zoned timestamp, so the key is one inside the query only.
+    """
+    zoned = stream.withColumn(key, F.col(key).cast("timestamp")).withWatermark(key, delay)
+    last = last_per_key(zoned, key, seq)
+    return last.withColumn(key, F.col(key).cast("timestamp_ntz"))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
