@@ -77,8 +77,11 @@ def time_grid(
     fmt: str = "yyyy-MM-dd HH:mm:ss",
 ) -> DataFrame:
     """A frame of ``x`` formatted stamps before or after ``start``."""
+    if tick not in UNIT_MICROS:
+        raise ValueError(f"unknown time unit: {tick}")
     begin = F.to_timestamp_ntz(F.lit(start), F.lit(fmt))
-    stamps = grid_stamps(begin, F.lit(x), prev=prev, tick=tick, step=step)
-    return spark.range(1).select(F.explode(stamps).alias("ts")).select(
-        F.date_format("ts", fmt).alias("stamp")
+    first = 1 - x if prev else 1
+    places = spark.range(first, first + max(x, 0)).withColumn(
+        "ts", begin + make_delta(tick, F.col("id") * step)
     )
+    return places.orderBy("id").select(F.date_format("ts", fmt).alias("stamp"))

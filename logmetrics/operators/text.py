@@ -14,27 +14,42 @@ from logmetrics.operators.positions import row_index
 # Fixed value: negative BM25 idf becomes this share of the average idf.
 BM25_FLOOR_SHARE = 0.25
 
-
-def default_terms(text: Column) -> Column:
-    """Default words and their adjacent pairs."""
-    return ngrams(tokenize_default(text))
+# A word table is broadcast only when it measures below this.
+VECTOR_TABLE_BYTES = 256 * 1024 * 1024
 
 
 def term_counts(
-    df: DataFrame, *, doc: str = "doc_id", text: str = "text", terms: Tokenizer = default_terms
+    df: DataFrame,
+    *,
+    doc: str = "doc_id",
+    text: str = "text",
+    tokens: Tokenizer = tokenize_default,
+    pairs: bool = True,
 ) -> DataFrame:
-    """(doc, term, tf). Counting combines inside the scan task before the shuffle."""
-    exploded = df.select(F.col(doc), F.explode(terms(F.col(text))).alias("term"))
+    """(doc, term, tf) over words and, with ``pairs``, adjacent pairs.
+
+    Tokens are a column of their own so that each text is split once. Counting
+    combines inside the scan task before the shuffle.
+    """
+    split = df.select(doc, tokens(F.col(text)).alias("_tokens"))
+    terms = ngrams(F.col("_tokens")) if pairs else F.col("_tokens")
+    exploded = split.select(doc, F.explode(terms).alias("term"))
     return exploded.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    """Documents per term, from (doc, term) rows that are already distinct."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Documents per term, from (doc, term, tf) rows.
+
+    Summing over tf and not plain counting keeps the input column-equal to
+    ``counts`` itself, so a plan that also reads ``counts`` shares its shuffle.
+    """
+    held = F.when(F.col("tf") > 0, F.lit(1).cast("long"))
+    return counts.groupBy("term").agg(F.sum(held).alias("df"))
 
 
-def corpus_size(df: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return df.agg(F.count_distinct(doc).alias("n"))
+def corpus_size(df: DataFrame) -> DataFrame:
+    """Number of documents, one per row."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_length(
@@ -123,6 +138,18 @@ def lemma_join(
     )
 
 
+def sized_broadcast(vectors: DataFrame, limit: int = VECTOR_TABLE_BYTES) -> DataFrame:
+    """The word table with a broadcast hint when it measures below ``limit``.
+
+    A larger table keeps no hint and joins by shuffle.
+    """
+    size = vectors.agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")
+    ).first()
+    measured = size["rows"] * (64 + 8 * (size["width"] or 0))
+    return F.broadcast(vectors) if measured <= limit else vectors
+
+
 def embed_lookup(
     df: DataFrame,
     vectors: DataFrame,
@@ -136,8 +163,9 @@ def embed_lookup(
     sqrt(count) (``sqrtn``) or over count (``mean``); unknown words are skipped.
 
     Each distinct text is embedded once and joined back by its hash, so no text
-    is copied per word. Words are counted per text first, so a repeated word joins once. The vector sums combine before
-    the shuffle; the word join is sized at run time.
+    is copied per word. De-duplication leaves the rows partitioned by that hash;
+    with a broadcast word table (see :func:`sized_broadcast`) counting and
+    summing then need no further shuffle.
     """
     if combine not in ("sqrtn", "mean"):
         raise ValueError(combine)

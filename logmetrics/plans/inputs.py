@@ -194,7 +194,7 @@ terms AS (
   FROM words),
 counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY doc_id, term),
 dfs AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-corpus AS (SELECT count(DISTINCT doc_id) AS n FROM documents)"""
+corpus AS (SELECT count(*) AS n FROM documents)"""
 
 PUNCT_SQL = sql_text(PUNCTUATION)
 SQL_BARE_WORDS = (

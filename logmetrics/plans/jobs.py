@@ -51,8 +51,9 @@ def log_anomalies(
     frame = materialize(frame, "messages")
     if faults:
         frame = inject_events(frame, faults)
+    words = text.sized_broadcast(vectors)
     embedded = materialize(
-        text.embed_lookup(frame, vectors, key="time").select("time", "features"), "embedded"
+        text.embed_lookup(frame, words, key="time").select("time", "features"), "embedded"
     )
     points = embedded.filter(F.col("features").isNotNull())
     scores = rcf_score(points, "time", num_trees=num_trees, tree_size=tree_size, seed=seed)
@@ -94,7 +95,7 @@ def log_clusters(
 
 def _lemmatized(docs: DataFrame, tokens: Tokenizer, lemmas: DataFrame | None) -> DataFrame:
     if lemmas is None:
-        return text.term_counts(docs, terms=tokens)
+        return text.term_counts(docs, tokens=tokens, pairs=False)
     exploded = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
     joined = text.lemma_join(exploded, lemmas)
     return joined.groupBy("doc_id", F.col("token").alias("term")).agg(

@@ -120,29 +120,33 @@ def _hourly(spark, sf_dir):
     )
 
 
+def _series(spark, sf_dir):
+    """Every event as a point of its type's series."""
+    return i.events(spark, sf_dir).select(F.col("event_type").alias("series"), "ts", "value")
+
+
 @query()
 def series_anomaly_scores(spark, sf_dir):
-    """Flagship: random cut forest over shingled hourly series, with event flags."""
-    hourly = materialize(label_intervals(_hourly(spark, sf_dir), i.FAULTS), "hourly")
-    points = shingle(hourly, "series", "ts", series=["series"], size=48)
-    stored = materialize(points, "shingles")
-    scores = rf.rcf_score(stored, "idx", num_trees=TREES, tree_size=SIZE, seed=SEED)
-    return stored.select("idx", "series", "ts", "value", "event").join(scores, "idx")
+    """Flagship: random cut forest over shingled metric series, with event flags."""
+    flagged = label_intervals(_series(spark, sf_dir), i.FAULTS)
+    points = materialize(
+        shingle(flagged, "series", "ts", series=["series"], size=48), "shingles"
+    )
+    scores = rf.rcf_score(points, "idx", num_trees=TREES, tree_size=SIZE, seed=SEED)
+    return points.select("idx", "series", "ts", "value", "event").join(scores, "idx")
 
 
 @query()
 def series_comparison(spark, sf_dir):
-    hourly = materialize(_hourly(spark, sf_dir), "hourly")
     return jobs.series_comparison(
-        hourly, i.FAULTS, group=["series"], num_trees=100, tree_size=256, seed=SEED
+        _series(spark, sf_dir), i.FAULTS, group=["series"], num_trees=100, tree_size=256, seed=SEED
     )
 
 
 @query()
 def log_anomalies(spark, sf_dir):
-    return jobs.log_anomalies(
-        i.logs(spark, sf_dir), i.word_vectors(spark, sf_dir), num_trees=50, seed=SEED
-    )
+    words = materialize(i.word_vectors(spark, sf_dir), "words")
+    return jobs.log_anomalies(i.logs(spark, sf_dir), words, num_trees=50, seed=SEED)
 
 
 FITTED = f"""{_sampled(50, 512)},

@@ -9,6 +9,8 @@ from logmetrics.functions import times as t
 from logmetrics.operators import intervals as iv
 from logmetrics.operators import logs as lg
 from logmetrics.operators import positions as pos
+from logmetrics.operators.features import vector_sum
+from logmetrics.operators.windows import shingle
 from logmetrics.plans import inputs as i
 from logmetrics.plans.catalog import query
 
@@ -64,23 +66,30 @@ def row_count(spark, sf_dir):
     return lg.row_count(i.events(spark, sf_dir))
 
 
-@query("""SELECT event_id, ts, value FROM events WHERE event_id % 10 < 7
-UNION ALL SELECT event_id, ts, value FROM events WHERE event_id % 10 >= 5""")
+@query(f"""WITH {i.LEDGER}
+SELECT run_id, epoch, loss FROM ledger
+UNION ALL SELECT run_id, epoch, loss * 2.0::DOUBLE FROM ledger""")
 def concat_series(spark, sf_dir):
-    rows = i.events(spark, sf_dir).select("event_id", "ts", "value")
-    train, held = rows.filter("event_id % 10 < 7"), rows.filter("event_id % 10 >= 5")
-    return lg.concat_series(train, held)
+    def part(metric):
+        value = F.element_at("metrics", metric).alias("loss")
+        return i.ledger(spark, sf_dir).select("run_id", "epoch", value)
+
+    return lg.concat_series(part("loss"), part("val_loss"))
 
 
-@query("""SELECT coalesce(a.event_id, b.event_id) AS event_id, a.value, b.user_id
-FROM (SELECT event_id, value FROM events WHERE event_id % 3 <> 0) a
-FULL JOIN (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0) b
-  ON a.event_id = b.event_id""")
+@query("""SELECT coalesce(c_custkey, o_custkey) AS custkey, c_nationkey, orders
+FROM customer FULL JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY o_custkey)
+  ON c_custkey = o_custkey""")
 def append_columns(spark, sf_dir):
-    rows = i.events(spark, sf_dir)
-    left = rows.filter("event_id % 3 <> 0").select("event_id", "value")
-    right = rows.filter("event_id % 2 = 0").select("event_id", "user_id")
-    return lg.append_columns(left, right, "event_id")
+    left = i.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("custkey"), "c_nationkey"
+    )
+    right = (
+        i.table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("custkey"))
+        .agg(F.count(F.lit(1)).alias("orders"))
+    )
+    return lg.append_columns(left, right, "custkey")
 
 
 # --- intervals --------------------------------------------------------------
@@ -147,16 +156,18 @@ def inject_events(spark, sf_dir):
     return iv.inject_events(frame, faults)
 
 
-@query("""SELECT e.event_id, e.ts, e.value, s.score
-FROM events e LEFT JOIN (
-  SELECT event_id, value * 2 AS score FROM events WHERE event_id >= 47) s
-  ON e.event_id = s.event_id""")
+@query("""SELECT event_type, event_id, value, CASE WHEN rn >= 48 THEN round(total, 6) END AS score
+FROM (SELECT event_type, event_id, value,
+        row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn,
+        sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+          ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS total
+      FROM events)""")
 def attach_scores(spark, sf_dir):
-    rows = i.events(spark, sf_dir).select("event_id", "ts", "value")
-    scores = rows.filter("event_id >= 47").select(
-        "event_id", (F.col("value") * 2).alias("score")
-    )
-    return iv.attach_scores(rows, scores, "event_id")
+    rows = i.events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
+    points = shingle(rows, "event_type", "ts", "event_id", series=["event_type"], size=48)
+    total = F.round(vector_sum(F.col("features")), 6).alias("score")
+    scores = points.select("event_id", total)
+    return iv.attach_scores(rows.drop("ts"), scores, "event_id")
 
 
 # --- positions --------------------------------------------------------------

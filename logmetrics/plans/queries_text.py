@@ -32,13 +32,19 @@ SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1,
          list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), 1) - 1 AS pos
 FROM w""")
 def ngrams(spark, sf_dir):
-    return _positions(i.documents(spark, sf_dir), t.default_terms)
+    words = i.documents(spark, sf_dir).select(
+        "doc_id", m.tokenize_default(F.col("text")).alias("words")
+    )
+    return _numbered(words, m.ngrams(F.col("words")))
 
 
 def _positions(docs, tokens):
-    return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token")).withColumn(
-        "pos", F.col("pos").cast("long")
-    )
+    return _numbered(docs, tokens(F.col("text")))
+
+
+def _numbered(rows, tokens):
+    placed = rows.select("doc_id", F.posexplode(tokens).alias("pos", "token"))
+    return placed.withColumn("pos", F.col("pos").cast("long"))
 
 
 LEMMAS = f"""words AS (
@@ -154,7 +160,8 @@ parts AS (
 SELECT seq, dim, round(sum(x) / sqrt(count(*)), 6) AS x FROM parts GROUP BY seq, dim""")
 def embed_lookup(spark, sf_dir):
     rows = i.logs(spark, sf_dir).select("seq", "message")
-    embedded = t.embed_lookup(rows, i.word_vectors(spark, sf_dir), key="seq")
+    words = t.sized_broadcast(materialize(i.word_vectors(spark, sf_dir), "words"))
+    embedded = t.embed_lookup(rows, words, key="seq")
     return embedded.select("seq", F.posexplode("features").alias("dim", "x")).select(
         "seq", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")
     )

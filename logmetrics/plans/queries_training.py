@@ -23,13 +23,11 @@ from logmetrics.streaming import logs as streams
 # --- models -----------------------------------------------------------------
 
 
-def _labelled(spark, sf_dir):
-    return i.vectors(spark, sf_dir).select("vec_id", "features", "label")
-
-
 def _parts(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return rows.filter("vec_id % 5 <> 0"), rows.filter("vec_id % 5 = 0")
+    """Train and held-out rows: the first 70 percent of the vectors and the rest."""
+    rows = chrono_split(i.vectors(spark, sf_dir), "vec_id")
+    train = F.col("split") == "train"
+    return rows.filter(train).drop("idx", "split"), rows.filter(~train).drop("idx", "split")
 
 
 @query()

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logmetrics.operators.forest import rcf_pack, rcf_score_against
 from logmetrics.operators.logs import build_log_frame, last_per_key
-from logmetrics.operators.text import embed_lookup
+from logmetrics.operators.text import embed_lookup, sized_broadcast
 from logmetrics.sources.logs import ENVELOPE, envelope_rows
 
 
@@ -65,9 +65,10 @@ def stream_log_scores(
     after a failure leaves no double rows.
     """
     packed = rcf_pack(forest)
+    words = sized_broadcast(vectors)
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        embedded = embed_lookup(batch, vectors, key=key, text=message).select(key, "features")
+        embedded = embed_lookup(batch, words, key=key, text=message).select(key, "features")
         known = embedded.filter(F.col("features").isNotNull())
         scores = rcf_score_against(known, packed).select(key, "score")
         batch.join(scores, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
