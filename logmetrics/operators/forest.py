@@ -184,9 +184,14 @@ def rcf_score(
     tree_size: int = 256,
     seed: int = 0,
     normalize: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
-    """Average collusive displacement per point, by default scaled to 0..1."""
-    stored = materialize(points.select(key, features), "points")
+    """Average collusive displacement per point, by default scaled to 0..1.
+
+    The points are read three times (size, order, trees), so they are written
+    once first unless the caller says they are ``stored`` already.
+    """
+    stored = points if stored else materialize(points.select(key, features), "points")
     n = stored.count()
     shape = ForestShape.of(n, num_trees, tree_size)
     sample = forest_sample(

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from logmetrics.functions.messages import Tokenizer, ngrams, tokenize_default
 from logmetrics.operators.positions import row_index
+from logmetrics.session import materialize, sized_broadcast
 
 # Fixed value: negative BM25 idf becomes this share of the average idf.
 BM25_FLOOR_SHARE = 0.25
 
-# A word table is broadcast only when it measures below this.
-VECTOR_TABLE_BYTES = 256 * 1024 * 1024
-
 
 def term_counts(
     df: DataFrame,
@@ -28,23 +26,20 @@ def term_counts(
 ) -> DataFrame:
     """(doc, term, tf) over words and, with ``pairs``, adjacent pairs.
 
-    Tokens are a column of their own so that each text is split once. Counting
-    combines inside the scan task before the shuffle.
+    Tokens are a column of their own so that each text is split once. The texts
+    are hashed by document before they are split: counting by (doc, term) then
+    needs no shuffle of the terms, which are several times the text.
     """
-    split = df.select(doc, tokens(F.col(text)).alias("_tokens"))
+    placed = df.select(doc, text).repartition(doc)
+    split = placed.select(doc, tokens(F.col(text)).alias("_tokens"))
     terms = ngrams(F.col("_tokens")) if pairs else F.col("_tokens")
-    exploded = split.select(doc, F.explode(terms).alias("term"))
+    exploded = split.select(doc, F.explode(terms).alias("term")).filter(F.col("term").isNotNull())
     return exploded.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
-    """Documents per term, from (doc, term, tf) rows.
-
-    Summing over tf and not plain counting keeps the input column-equal to
-    ``counts`` itself, so a plan that also reads ``counts`` shares its shuffle.
-    """
-    held = F.when(F.col("tf") > 0, F.lit(1).cast("long"))
-    return counts.groupBy("term").agg(F.sum(held).alias("df"))
+    """Documents per term, from distinct (doc, term) rows; combines before the shuffle."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_size(df: DataFrame) -> DataFrame:
@@ -59,58 +54,66 @@ def document_length(
 
 
 def vocabulary(counts: DataFrame) -> DataFrame:
-    """Distinct terms with their place in code-point order."""
-    return row_index(counts.select("term").distinct(), "term", name="term_id")
+    """(term, df, term_id): distinct terms with their place in code-point order."""
+    return row_index(document_frequency(counts), "term", name="term_id")
 
 
-def tfidf(counts: DataFrame, n_docs: Column, doc: str = "doc_id") -> DataFrame:
+def tfidf(
+    counts: DataFrame, n_docs: Column, terms: DataFrame | None = None, doc: str = "doc_id"
+) -> DataFrame:
     """tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length one.
 
-    ``n_docs`` is a literal or a scalar subquery. The join on term is left to
-    adaptive execution: broadcast when the measured df table is small, else a
-    sort-merge join whose hot terms are split.
+    ``n_docs`` is a literal or a scalar subquery. ``terms`` is a stored
+    (term, df) table, by default one written here; further columns of it, such
+    as ``term_id``, stay on the result. A table that measures small is
+    broadcast; counts then stay where they are, document by document. A large
+    one joins by shuffle, where adaptive execution splits hot terms.
     """
-    weights = document_frequency(counts).select(
-        "term", (F.ln((n_docs + 1) / (F.col("df") + F.lit(1.0))) + 1).alias("idf")
+    table = _terms(counts, terms)
+    idf = (F.ln((n_docs + 1) / (F.col("df") + F.lit(1.0))) + 1).alias("_idf")
+    extra = [c for c in table.columns if c not in ("term", "df")]
+    raw = counts.join(table.select("term", idf, *extra), "term").withColumn(
+        "_w", F.col("tf") * F.col("_idf")
     )
-    raw = counts.join(weights, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", "tf", (F.col("w") / length).alias("weight"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
+    return raw.select(doc, "term", "tf", *extra, (F.col("_w") / length).alias("weight"))
 
 
-def bm25_idf(counts: DataFrame, n_docs: Column) -> DataFrame:
+def bm25_idf(counts: DataFrame, n_docs: Column, terms: DataFrame | None = None) -> DataFrame:
     """ln(n - df + 0.5) - ln(df + 0.5); negative values become a share of the average."""
-    raw = document_frequency(counts).withColumn(
-        "raw",
+    table = _terms(counts, terms)
+    raw = table.withColumn(
+        "_raw",
         F.ln(n_docs.cast("double") - F.col("df") + F.lit(0.5)) - F.ln(F.col("df") + F.lit(0.5)),
     )
-    average = raw.agg(F.avg("raw").alias("a")).scalar()
+    average = raw.agg(F.avg("_raw").alias("a")).scalar()
     floor = F.lit(BM25_FLOOR_SHARE) * average
     return raw.select(
-        "term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")
+        *table.columns, F.when(F.col("_raw") < 0, floor).otherwise(F.col("_raw")).alias("idf")
     )
 
 
 def bm25_presence(counts: DataFrame, idf: DataFrame, doc: str = "doc_id") -> DataFrame:
     """idf of each term a document holds; terms it does not hold have no row."""
-    return counts.select(doc, "term").join(idf.select("term", "idf"), "term").select(
-        doc, "term", F.col("idf").alias("weight")
-    )
+    kept = idf.drop("df").withColumnRenamed("idf", "weight")
+    return counts.select(doc, "term").join(kept, "term")
+
+
+def _terms(counts: DataFrame, terms: DataFrame | None) -> DataFrame:
+    stored = materialize(document_frequency(counts), "terms") if terms is None else terms
+    return sized_broadcast(stored)
 
 
 def to_feature_vector(
-    weights: DataFrame, vocab: DataFrame, doc: str = "doc_id", weight: str = "weight"
+    weights: DataFrame, width: Column, doc: str = "doc_id", weight: str = "weight"
 ) -> DataFrame:
-    """Long weights to one sparse vector per document.
+    """Long weights with ``term_id`` to one sparse vector per document.
 
-    One document's terms come together, which its own text bounds; the whole
-    vocabulary never leaves the cluster, only its size is a scalar.
+    One document's terms come together, which its own text bounds; the
+    vocabulary never leaves the cluster, only its size ``width`` is a scalar.
     """
-    width = vocab.agg((F.max("term_id") + 1).cast("int").alias("w")).scalar()
-    entries = (
-        weights.join(vocab, "term")
-        .groupBy(doc)
-        .agg(F.sort_array(F.collect_list(F.struct("term_id", weight))).alias("_entries"))
+    entries = weights.groupBy(doc).agg(
+        F.sort_array(F.collect_list(F.struct("term_id", weight))).alias("_entries")
     )
     sparse = F.udf(_sparse, VectorUDT(), useArrow=True)
     return entries.select(
@@ -119,6 +122,10 @@ def to_feature_vector(
     )
 
 
+def vocabulary_size(terms: DataFrame) -> Column:
+    return terms.agg(F.count(F.lit(1)).cast("int").alias("w")).scalar()
+
+
 def _sparse(width, places, values):
     return Vectors.sparse(int(width), [int(p) for p in places], [float(v) for v in values])
 
@@ -128,7 +135,8 @@ def lemma_join(
 ) -> DataFrame:
     """Tokens replaced by their lemma, unchanged when unknown.
 
-    ``lemmas`` has one row per token. Its size decides the join at run time.
+    ``lemmas`` has one row per token; pass it through ``session.sized_broadcast``
+    so that a small table moves no tokens.
     """
     known = lemmas.select(F.col(token).alias("_t"), F.col(lemma).alias("_l"))
     return (
@@ -138,18 +146,6 @@ def lemma_join(
     )
 
 
-def sized_broadcast(vectors: DataFrame, limit: int = VECTOR_TABLE_BYTES) -> DataFrame:
-    """The word table with a broadcast hint when it measures below ``limit``.
-
-    A larger table keeps no hint and joins by shuffle.
-    """
-    size = vectors.agg(
-        F.count(F.lit(1)).alias("rows"), F.max(F.size("vector")).alias("width")
-    ).first()
-    measured = size["rows"] * (64 + 8 * (size["width"] or 0))
-    return F.broadcast(vectors) if measured <= limit else vectors
-
-
 def embed_lookup(
     df: DataFrame,
     vectors: DataFrame,
@@ -164,7 +160,7 @@ def embed_lookup(
 
     Each distinct text is embedded once and joined back by its hash, so no text
     is copied per word. De-duplication leaves the rows partitioned by that hash;
-    with a broadcast word table (see :func:`sized_broadcast`) counting and
+    with a broadcast word table (see ``session.sized_broadcast``) counting and
     summing then need no further shuffle.
     """
     if combine not in ("sqrtn", "mean"):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logmetrics.session import ship_package, use_utc
+from logmetrics.session import prepare, ship_package
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,7 @@ def query(oracle: str | None = None) -> Callable[[Run], Run]:
 
     def add(run: Run) -> Run:
         def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-            use_utc(spark)
+            prepare(spark)
             ship_package(spark)
             return run(spark, sf_dir)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logmetrics.functions.messages import DIGITS, PUNCTUATION, tokenize_default
 from logmetrics.operators.intervals import Interval
 from logmetrics.operators.logs import build_log_frame
-from logmetrics.session import scratch_path
+from logmetrics.session import scratch_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for per-row text work, over all cores whatever the file layout."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("features"), "label"

@@ -29,7 +29,7 @@ from logmetrics.operators.logs import build_log_frame, last_per_key
 from logmetrics.operators.positions import chrono_split, sample_every
 from logmetrics.operators.report import anomaly_report
 from logmetrics.operators.windows import WindowSpec, shingle, sliding_windows, window_slices
-from logmetrics.session import materialize
+from logmetrics.session import materialize, sized_broadcast
 
 
 def log_anomalies(
@@ -51,12 +51,14 @@ def log_anomalies(
     frame = materialize(frame, "messages")
     if faults:
         frame = inject_events(frame, faults)
-    words = text.sized_broadcast(vectors)
+    words = sized_broadcast(vectors)
     embedded = materialize(
         text.embed_lookup(frame, words, key="time").select("time", "features"), "embedded"
     )
     points = embedded.filter(F.col("features").isNotNull())
-    scores = rcf_score(points, "time", num_trees=num_trees, tree_size=tree_size, seed=seed)
+    scores = rcf_score(
+        points, "time", num_trees=num_trees, tree_size=tree_size, seed=seed, stored=True
+    )
     sums = points.select("time", vector_sum(F.col("features")).alias("embedding_sum"))
     flagged = label_intervals(frame, list(faults), ts="time")
     return anomaly_report(flagged, "time", sums, scores.withColumnRenamed("score", "rcf"))
@@ -80,14 +82,16 @@ def log_clusters(
     n = text.corpus_size(docs).scalar()
     if weighting == "tfidf":
         counts = materialize(text.term_counts(docs), "counts")
-        weights = text.tfidf(counts, n)
+        terms = text.vocabulary(counts)
+        weights = text.tfidf(counts, n, terms)
     elif weighting == "bm25":
         words = _lemmatized(docs, tokenize_deleting_punctuation, lemmas)
         counts = materialize(words, "counts")
-        weights = text.bm25_presence(counts, text.bm25_idf(counts, n))
+        terms = text.vocabulary(counts)
+        weights = text.bm25_presence(counts, text.bm25_idf(counts, n, terms))
     else:
         raise ValueError(weighting)
-    vectors = text.to_feature_vector(weights, text.vocabulary(counts))
+    vectors = text.to_feature_vector(weights, text.vocabulary_size(terms))
     stored = materialize(vectors, "vectors")
     labelled = cluster.kmeans_fit_predict(stored, k=k, max_iter=max_iter, seeds=seeds)
     return labelled.select("doc_id", F.col("cluster_label").cast("long").alias("cluster_label"))
@@ -126,7 +130,9 @@ def series_comparison(
         shingle(flagged, *group, ts, value=value, size=size, series=group), "shingles"
     )
     points = shingled.select("idx", "features")
-    rcf = rcf_score(points, "idx", num_trees=num_trees, tree_size=tree_size, seed=seed)
+    rcf = rcf_score(
+        points, "idx", num_trees=num_trees, tree_size=tree_size, seed=seed, stored=True
+    )
     nodes = materialize(iforest_fit(points, "idx", num_trees=num_trees, seed=seed), "nodes")
     raw = materialize(iforest_score(points, nodes).select("idx", "score"), "iforest")
     share = contamination(flagged).first()["contamination"] or 0.0

@@ -132,7 +132,9 @@ def series_anomaly_scores(spark, sf_dir):
     points = materialize(
         shingle(flagged, "series", "ts", series=["series"], size=48), "shingles"
     )
-    scores = rf.rcf_score(points, "idx", num_trees=TREES, tree_size=SIZE, seed=SEED)
+    scores = rf.rcf_score(
+        points, "idx", num_trees=TREES, tree_size=SIZE, seed=SEED, stored=True
+    )
     return points.select("idx", "series", "ts", "value", "event").join(scores, "idx")
 
 

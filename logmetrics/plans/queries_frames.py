@@ -19,7 +19,7 @@ from logmetrics.plans.catalog import query
 
 @query(f"SELECT doc_id, {i.sql_clean('text')} AS cleaned FROM documents")
 def clean_message(spark, sf_dir):
-    return i.documents(spark, sf_dir).select(
+    return i.spread_documents(spark, sf_dir).select(
         "doc_id", m.clean_message(F.col("text")).alias("cleaned")
     )
 

@@ -11,19 +11,19 @@ from logmetrics.operators import text as t
 from logmetrics.plans import inputs as i
 from logmetrics.plans import jobs
 from logmetrics.plans.catalog import query
-from logmetrics.session import materialize
+from logmetrics.session import materialize, sized_broadcast, spread
 
 
 @query(f"""SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token
 FROM (SELECT doc_id, {i.SQL_WORDS} AS w FROM documents)""")
 def tokenize_default(spark, sf_dir):
-    return _positions(i.documents(spark, sf_dir), m.tokenize_default)
+    return _positions(i.spread_documents(spark, sf_dir), m.tokenize_default)
 
 
 @query(f"""SELECT doc_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS token
 FROM (SELECT doc_id, {i.SQL_BARE_WORDS} AS w FROM documents)""")
 def tokenize_deleting_punctuation(spark, sf_dir):
-    return _positions(i.documents(spark, sf_dir), m.tokenize_deleting_punctuation)
+    return _positions(i.spread_documents(spark, sf_dir), m.tokenize_deleting_punctuation)
 
 
 @query(f"""WITH w AS (SELECT doc_id, {i.SQL_WORDS} AS w FROM documents)
@@ -32,7 +32,7 @@ SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1,
          list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]), 1) - 1 AS pos
 FROM w""")
 def ngrams(spark, sf_dir):
-    words = i.documents(spark, sf_dir).select(
+    words = i.spread_documents(spark, sf_dir).select(
         "doc_id", m.tokenize_default(F.col("text")).alias("words")
     )
     return _numbered(words, m.ngrams(F.col("words")))
@@ -58,12 +58,12 @@ lemmas AS (
 @query(f"""WITH {LEMMAS}
 SELECT doc_id, pos, coalesce(lemma, token) AS token FROM words LEFT JOIN lemmas USING (token)""")
 def lemma_join(spark, sf_dir):
-    tokens = _positions(i.documents(spark, sf_dir), m.tokenize_deleting_punctuation)
+    tokens = _positions(i.spread_documents(spark, sf_dir), m.tokenize_deleting_punctuation)
     ending = F.col("token").endswith("s") & (F.length("token") > 3)
     lemmas = tokens.select("token").filter(ending).distinct().withColumn(
         "lemma", F.expr("left(token, length(token) - 1)")
     )
-    return t.lemma_join(tokens, lemmas)
+    return t.lemma_join(tokens, sized_broadcast(materialize(lemmas, "lemmas")))
 
 
 def _counts(spark, sf_dir):
@@ -89,7 +89,7 @@ def document_length(spark, sf_dir):
 @query(f"""WITH {i.TERMS}
 SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM dfs""")
 def vocabulary(spark, sf_dir):
-    return t.vocabulary(_counts(spark, sf_dir))
+    return t.vocabulary(_counts(spark, sf_dir)).drop("df")
 
 
 TFIDF = f"""{i.TERMS},
@@ -137,8 +137,9 @@ SELECT doc_id, (SELECT count(*) FROM vocab) AS size, term_id, weight
 FROM tfidf JOIN vocab USING (term)""")
 def feature_vectors(spark, sf_dir):
     counts = materialize(_counts(spark, sf_dir), "counts")
-    weights = t.tfidf(counts, _size(spark, sf_dir))
-    vectors = t.to_feature_vector(weights, t.vocabulary(counts))
+    terms = t.vocabulary(counts)
+    weights = t.tfidf(counts, _size(spark, sf_dir), terms)
+    vectors = t.to_feature_vector(weights, t.vocabulary_size(terms))
     # A sparse vector as JSON is its size, places and values.
     shape = "features struct<size:bigint,indices:array<bigint>,values:array<double>>"
     parts = vectors.select(
@@ -160,7 +161,7 @@ parts AS (
 SELECT seq, dim, round(sum(x) / sqrt(count(*)), 6) AS x FROM parts GROUP BY seq, dim""")
 def embed_lookup(spark, sf_dir):
     rows = i.logs(spark, sf_dir).select("seq", "message")
-    words = t.sized_broadcast(materialize(i.word_vectors(spark, sf_dir), "words"))
+    words = sized_broadcast(materialize(i.word_vectors(spark, sf_dir), "words"))
     embedded = t.embed_lookup(rows, words, key="seq")
     return embedded.select("seq", F.posexplode("features").alias("dim", "x")).select(
         "seq", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")
@@ -182,7 +183,8 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def _one_hot(spark, sf_dir):
     places = F.array(*[(F.col("event_type") == x).cast("double") for x in TYPES])
-    return i.events(spark, sf_dir).select("event_id", places.alias("features"))
+    points = i.events(spark, sf_dir).select("event_id", places.alias("features"))
+    return spread(points, "event_id")
 
 
 def _first_member(labelled):

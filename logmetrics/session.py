@@ -8,14 +8,54 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """All timestamps here are zone-less; epoch conversions read them as UTC."""
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings the operators count on; all can change at run time.
+
+    Timestamps here are zone-less and epoch conversions read them as UTC. A
+    join whose measured partitions are small enough hashes one side instead of
+    sorting both; adaptive execution still decides by the sizes it sees.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     return spark
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a plain scan out over the cores when it has fewer tasks.
+
+    For costly per-row work on few large row groups. A scan with enough tasks
+    is left alone, so nothing moves on large tables. Not for frames that
+    already shuffle: asking for their task count would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
+def sized_broadcast(table: DataFrame, limit: int = 64 * 1024 * 1024) -> DataFrame:
+    """``table`` with a broadcast hint when it measures below ``limit`` bytes.
+
+    One pass over a stored table; a larger one keeps no hint and joins by
+    shuffle.
+    """
+    parts = []
+    for field in table.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StringType):
+            parts.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif isinstance(field.dataType, T.ArrayType):
+            parts.append(F.greatest(F.size(column), F.lit(0)) * 8)
+    row = sum(parts, F.lit(8 * len(table.columns) + 32)).cast("long")
+    measured = table.agg(F.sum(row).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(table) if measured <= limit else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 

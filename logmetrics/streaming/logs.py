@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logmetrics.operators.forest import rcf_pack, rcf_score_against
 from logmetrics.operators.logs import build_log_frame, last_per_key
-from logmetrics.operators.text import embed_lookup, sized_broadcast
+from logmetrics.operators.text import embed_lookup
+from logmetrics.session import sized_broadcast
 from logmetrics.sources.logs import ENVELOPE, envelope_rows
 
 
