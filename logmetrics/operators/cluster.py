@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,14 +59,16 @@ def kmeans_inertia(model: KMeansModel) -> float:
 
 
 def total_inertia(df: DataFrame, features: str = "features") -> DataFrame:
-    """Inertia for one cluster in closed form: per-dimension sum of (x - mean)^2."""
-    is_array = isinstance(df.schema[features].dataType, T.ArrayType)
-    values = F.col(features).cast("array<double>") if is_array else vector_to_array(features)
-    dims = df.select(F.posexplode(values).alias("dim", "x"))
-    spread = dims.groupBy("dim").agg(
-        (F.var_pop("x") * F.count("x")).alias("ss")
+    """Inertia for one cluster in closed form: per-dimension sum of (x - mean)^2.
+
+    One pass: sample variance per dimension times n - 1.
+    """
+    spread = _vectors(df, features).agg(
+        vector_to_array(Summarizer.variance(F.col(features))).alias("variance"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return spread.agg(F.sum("ss").alias("inertia"))
+    total = F.aggregate("variance", F.lit(0.0), lambda acc, v: acc + v)
+    return spread.select((total * (F.col("n") - 1)).alias("inertia"))
 
 
 def elbow(

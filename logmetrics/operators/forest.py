@@ -111,8 +111,10 @@ def sample_trees(
         share = (needed + 8 * math.sqrt(needed) + 64) / total
         early = round_hash(seed, F.lit(0), F.col(key))
         while share < 1:
-            kept = points.filter(early < F.lit(format(int(share * 16**12), "012x")))
-            kept_n = kept.select(key).count()
+            # About ``needed`` rows, written once: one scan finds, counts and keeps them.
+            cut = F.lit(format(int(share * 16**12), "012x"))
+            kept = materialize(points.filter(early < cut), "early")
+            kept_n = kept.count()
             if kept_n >= needed:
                 break
             share *= 2

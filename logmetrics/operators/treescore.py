@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +19,15 @@ BROADCAST_BYTES = 128 * 1024 * 1024
 
 
 def vectors_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a matrix."""
+    """A list column as a matrix; every vector must be there, whole and equally long."""
     whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(whole):
         return np.empty((0, 0))
-    flat = whole.flatten().to_numpy(zero_copy_only=False)
+    values = whole.flatten()
+    lengths = pc.min_max(pc.list_value_length(whole)).as_py()
+    if whole.null_count or values.null_count or lengths["min"] != lengths["max"]:
+        raise ValueError("feature vectors must not be null, hold nulls or differ in length")
+    flat = values.to_numpy(zero_copy_only=False)
     return flat.reshape(len(whole), -1).astype(np.float64, copy=False)
 
 

@@ -13,7 +13,7 @@ from logmetrics.operators.windows import shingle
 from logmetrics.plans import inputs as i
 from logmetrics.plans import jobs
 from logmetrics.plans.catalog import query
-from logmetrics.session import materialize
+from logmetrics.session import materialize, spread
 
 SEED, TREES, SIZE = 7, 100, 256
 
@@ -180,7 +180,7 @@ own AS (
 SELECT event_id, round(CASE WHEN event_type = 'error' THEN one ELSE zero END, 6) AS score
 FROM events, own""")
 def rcf_score_against(spark, sf_dir):
-    points = _two_valued(spark, sf_dir)
+    points = spread(_two_valued(spark, sf_dir), "event_id")
     nodes = materialize(
         rf.rcf_fit(points, "event_id", num_trees=50, tree_size=512, seed=SEED), "nodes"
     )
@@ -225,7 +225,7 @@ iforest AS (
 
 
 def _iforest(spark, sf_dir):
-    points = _two_valued(spark, sf_dir)
+    points = spread(_two_valued(spark, sf_dir), "event_id")
     nodes = materialize(ifo.iforest_fit(points, "event_id", seed=SEED), "nodes")
     return ifo.iforest_score(points, nodes).select("event_id", "score")
 

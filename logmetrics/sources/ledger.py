@@ -38,7 +38,8 @@ def ledger_entry(
 def ledger_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows; a missing or unreadable ledger reads as empty."""
     try:
-        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+        reader = spark.read.schema(LEDGER_SCHEMA).option("ignoreCorruptFiles", True)
+        return reader.parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], LEDGER_SCHEMA)
 

@@ -69,10 +69,13 @@ def stream_log_scores(
     words = sized_broadcast(vectors)
 
     def score(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()  # read three times below
         embedded = embed_lookup(batch, words, key=key, text=message).select(key, "features")
         known = embedded.filter(F.col("features").isNotNull())
         scores = rcf_score_against(known, packed).select(key, "score")
-        batch.join(scores, key, "left").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        scored = batch.join(scores, key, "left")
+        scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(score)

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,14 @@ def test_stored_forest_scores_new_points(cloud, monkeypatch, tmp_path):
     assert all(many[k] == pytest.approx(v) for k, v in one.items())
 
 
+def test_vectors_must_be_whole(spark):
+    for bad in ([None], [[1.0, None]], [[1.0], [1.0, 2.0]]):
+        with pytest.raises(ValueError):
+            treescore.vectors_of(pa.array(bad, type=pa.list_(pa.float64())))
+    sliced = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]).slice(1)
+    assert treescore.vectors_of(sliced).tolist() == [[3.0, 4.0], [5.0, 6.0]]
+
+
 def test_constant_sample_scores_one_half(spark):
     points = spark.createDataFrame([(k, [4.0, 4.0]) for k in range(50)], "id long, features array<double>")
     scores = ifo.iforest_score(points, ifo.iforest_fit(points, "id", num_trees=3)).collect()

@@ -13,7 +13,7 @@ T1, T2 = datetime(2021, 9, 15, 0, 0, 1), datetime(2021, 9, 15, 0, 0, 2)
 def envelope(count, records, valid=True):
     return {
         "searchTime": "1", "logCount": count, "is_VALID": valid, "invalid_MSG": "",
-        "log_type": "HW-Log", "logCmpList": records,
+        "log_type": "system", "logCmpList": records,
     }
 
 
@@ -29,7 +29,7 @@ def landed(tmp_path):
 def test_envelope_rows_follow_the_list(spark, landed):
     rows = logs.read_log_envelopes(spark, landed).collect()
     assert len(rows) == 3
-    assert rows[0]["log_time"] == T1 and rows[0]["log_type"] == "HW-Log"
+    assert rows[0]["log_time"] == T1 and rows[0]["log_type"] == "system"
 
 
 def test_envelope_header_checks_the_count(spark, landed):

@@ -36,6 +36,11 @@ def test_missing_ledger_gives_defaults(spark, tmp_path):
     assert tuple(state) == ("x", 0, 0.0, 0, 0, False)
 
 
+def test_unreadable_ledger_gives_defaults(spark, tmp_path):
+    (tmp_path / "part-0.parquet").write_text("not a table")
+    assert store.ledger_rows(spark, str(tmp_path)).count() == 0
+
+
 def resumed(spark):
     rows = ledger(spark, [("a", 1, 10, 30, True, {}), ("b", 1, 10, 30, False, {}), ("c", 1, 0, 30, True, {})])
     return rc.resume_point(store.latest_state(rows), 0.88), store.latest_checkpoint(rows)
