@@ -15,12 +15,18 @@ from pyspark.sql import types as T
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings the operators count on; all can change at run time.
 
-    Timestamps here are zone-less and epoch conversions read them as UTC. A
-    join whose measured partitions are small enough hashes one side instead of
-    sorting both; adaptive execution still decides by the sizes it sees.
+    Timestamps here are zone-less and epoch conversions read them as UTC.
+
+    Joins are planned on measured sizes only. Estimates made before the run
+    take exploded terms to be as small as the texts' file and would broadcast
+    them; so only hints (see :func:`sized_broadcast`) and the sizes adaptive
+    execution sees may lead to a broadcast, and a join whose measured
+    partitions are small enough hashes one side instead of sorting both.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "32m")
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     return spark
 
