@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from logmetrics.llm.catalog import query
 from logmetrics.llm.decontam import contamination, find_contamination
 from logmetrics.llm.neardup import near_duplicates
+from logmetrics.llm.pieces import encode_pieces
 from logmetrics.llm.substring import dedup_substrings
+from logmetrics.llm.toxicity import held_out, score_toxicity, train_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +69,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.array_join(F.col("piece_ids").cast("array<string>"), " ")
+    return encode_pieces(docs, keep_text=False).select(
+        "doc_id",
+        F.size("piece_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("piece_text", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    out = score_toxicity(docs, model)
+    return out.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("tox_score").alias("score"),
+        F.col("tox_predicted").alias("predicted"),
+    )

@@ -110,12 +110,13 @@ def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]
 
 @dataclass
 class Words:
-    """Words of some texts: byte ranges, hashes, and the first word of each text (n + 1 entries)."""
+    """Words of some texts: byte ranges, hashes, the first word of each text (n + 1 entries), hashes of heads."""
 
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    heads: list[np.ndarray]
 
     @property
     def counts(self) -> np.ndarray:
@@ -130,12 +131,15 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self.hash))
 
 
-def cut(data: np.ndarray, offsets: np.ndarray, kind: Kind) -> Words:
-    """The words of texts given as bytes and offsets (both from 0)."""
+def cut(data: np.ndarray, offsets: np.ndarray, kind: Kind, heads: tuple[int, ...] = ()) -> Words:
+    """The words of texts given as bytes and offsets (both from 0).
+
+    ``heads`` asks for hashes of each word's first so many bytes (all, if it has fewer).
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Words(none, none, np.zeros(0, U), np.zeros(len(offsets), np.int64))
+        return Words(none, none, np.zeros(0, U), np.zeros(len(offsets), np.int64), [np.zeros(0, U)] * len(heads))
     value = kind.value[data]
     word = value != 0
     begins, ends = word.copy(), word.copy()
@@ -149,8 +153,13 @@ def cut(data: np.ndarray, offsets: np.ndarray, kind: Kind) -> Words:
     _BYTES.reach(n)
     value *= _BYTES.up[:n]
     total = np.cumsum(value, dtype=U)
-    hashes = (total[last] - total[start] + value[start]) * _BYTES.down[start]
-    return Words(start, last + 1, mix(hashes), np.searchsorted(start, offsets))
+    before = total[start] - value[start]
+
+    def hashed(stop: np.ndarray) -> np.ndarray:
+        return mix((total[stop] - before) * _BYTES.down[start])
+
+    parts = [mix(hashed(np.minimum(last, start + size - 1)) + U(size)) for size in heads]
+    return Words(start, last + 1, hashed(last), np.searchsorted(start, offsets), parts)
 
 
 def grams(words: np.ndarray, size: int, powers: Powers | None = None) -> np.ndarray:
