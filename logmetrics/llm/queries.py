@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logmetrics.llm.ann import search
 from logmetrics.llm.catalog import query
+from logmetrics.llm.chat import format_conversations, read_conversations
 from logmetrics.llm.decontam import contamination, find_contamination
 from logmetrics.llm.neardup import near_duplicates
 from logmetrics.llm.pieces import encode_pieces
+from logmetrics.llm.sharding import shuffle_shards, text_bytes
 from logmetrics.llm.substring import dedup_substrings
 from logmetrics.llm.toxicity import held_out, score_toxicity, train_toxicity
 
@@ -96,3 +99,65 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("tox_score").alias("score"),
         F.col("tox_predicted").alias("predicted"),
     )
+
+
+@query()
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document after an external shuffle."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = shuffle_shards(docs, 24)
+    return out.select(
+        "doc_id",
+        text_bytes("text").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+@query()
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, F.col("id") % 50 == 0)
+
+
+@query(
+    r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  CAST(sum(14 + length(regexp_replace(role, '([\\#<:])', 'x\1', 'g'))
+    + length(regexp_replace(text, '([\\#<])', 'x\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+)
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted by a template, read back and digested."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(said).alias("text"),
+    )
+    out = read_conversations(format_conversations(turns.unionByName(more)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join("loss_texts", "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
