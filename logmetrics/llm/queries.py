@@ -9,11 +9,15 @@ from logmetrics.llm.ann import search
 from logmetrics.llm.catalog import query
 from logmetrics.llm.chat import format_conversations, read_conversations
 from logmetrics.llm.decontam import contamination, find_contamination
+from logmetrics.llm.langid import held_out as lang_held_out
+from logmetrics.llm.langid import predict_languages, train_languages
 from logmetrics.llm.neardup import near_duplicates
 from logmetrics.llm.pieces import encode_pieces
 from logmetrics.llm.sharding import shuffle_shards, text_bytes
 from logmetrics.llm.substring import dedup_substrings
 from logmetrics.llm.toxicity import held_out, score_toxicity, train_toxicity
+from logmetrics.llm.warc import convert_arc, read_warc, write_arc
+from logmetrics.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,3 +165,44 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train_languages(docs)
+    out = predict_languages(docs.select("doc_id", "text"), model, keep_text=False)
+    return out.select(
+        "doc_id",
+        lang_held_out().alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+        F.col("lang_rejected").alias("rejected"),
+    )
+
+
+@query(
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS latest
+  FROM pages),
+b AS (
+  SELECT *, list_transform(range(0, 8), lambda k: CAST('0x' || substr(hex, CAST(5 * k + 1 AS INTEGER), 5) AS INTEGER)) AS v FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(v, lambda x: array_to_string(list_transform([15, 10, 5, 0],
+    lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> s) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to
+FROM b
+"""
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through legacy archives to WARC records, read back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = materialize(read_warc(spark, convert_arc(spark, write_arc(pages))), "records")
+    first = records.where("record_type = 'response'")
+    first = first.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
+    out = records.join(first, "refers_to", "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
