@@ -254,12 +254,12 @@ def near_duplicates(
     # One node for each distinct text, whatever the number of its copies.
     first = [F.any_value(c).alias(c) for c in ("keys", "darts")]
     nodes = materialize(signed.groupBy("digest").agg(F.min("id").alias("node"), *first), "nodes")
-    held = links = good = None
-    among = nodes
+    held = links = classes = None
+    among = nodes.select("node", "keys", F.col("node").alias("label"))
     for level, steps in enumerate(LEVELS):
         places = [[b, *((b + i) % bands for i in step)] for b in range(bands) for step in steps]
         keys = [F.xxhash64(F.lit(k), *[F.get("keys", F.lit(p)) for p in place]) for k, place in enumerate(places)]
-        rows = among.select("node", F.explode(F.array(*keys)).alias("key"))
+        rows = among.select("node", "label", F.explode(F.array(*keys)).alias("key"))
         shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         members = materialize(rows.join(shared, "key"), "members")
         if level == 0:
@@ -271,11 +271,12 @@ def near_duplicates(
             held = materialize(held.dropDuplicates(["id", "text"]), "texts")
         else:
             order, ranked = F.struct(F.xxhash64("key", "node"), "node"), members
-        leaders = ranked.groupBy("key").agg(F.max_by("node", order).alias("leader"))
-        pairs = members.join(leaders, "key").where(F.col("node") != F.col("leader"))
+        leaders = ranked.groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("lead"))
+        # Who is in the leader's class already, by whatever chain, needs no check.
+        pairs = members.join(leaders, "key").where(F.col("label") != F.col("lead.label"))
         # Similarity is symmetric: each unordered pair is checked once.
-        pairs = pairs.select("key", F.least("node", "leader").alias("node"), F.greatest("node", "leader").alias("leader"))
-        pairs = materialize(pairs, "pairs")
+        low, high = F.least("node", "lead.node"), F.greatest("node", "lead.node")
+        pairs = materialize(pairs.select("key", low.alias("node"), high.alias("leader")), "pairs")
         fresh = pairs.select("node", "leader").distinct()
         if links is not None:
             fresh = fresh.join(links.select("node", "leader"), ["node", "leader"], "left_anti")
@@ -289,10 +290,11 @@ def near_duplicates(
         checked = materialize(checked.groupBy("node", "leader").agg(F.max("linked").alias("linked")), "links")
         links = checked if links is None else links.union(checked)
         good = links.where("linked").select("node", "leader").distinct()
+        classes = components(good.select(F.col("node").alias("a"), F.col("leader").alias("b")))
         unlike = pairs.join(good, ["node", "leader"], "left_anti").select("key").distinct()
         again = members.join(unlike, "key", "left_semi").select("node").distinct()
-        among = nodes.join(again, "node", "left_semi")
-    classes = components(good.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+        among = nodes.join(again, "node", "left_semi").join(classes, "node", "left")
+        among = among.select("node", "keys", F.coalesce("label", "node").alias("label"))
     copies = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node")
     copies = copies.join(classes, "node", "left").select("id", F.coalesce("label", "node").alias("node"))
     copies = copies.groupBy("id").agg(F.min("node").alias("class_id"))
