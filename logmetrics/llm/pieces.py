@@ -34,7 +34,10 @@ from logmetrics.llm.words import slices, text_buffers
 
 MARK = "▁"
 #: Segments a worker keeps (about 200 bytes each).
-KEPT = 600_000
+KEPT = 800_000
+#: Bits of an agenda entry that hold a place.
+PLACE = 40
+MOST = (1 << PLACE) - 1
 ADDED = ("piece_ids", "piece_text")
 _WORKERS: dict[tuple[bytes, bool], Codec] = {}
 
@@ -54,51 +57,62 @@ class Codec:
             self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i)
             for i in range(size)
         ]
-        self.score = {p: (self.library.get_score(i), i) for i, p in enumerate(pieces) if not special[i]}
+        self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
+        score = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        place = {s: k for k, s in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[s] for p, s in score.items()}
         self.bytes = {int(p[1:-1], 16): i for i, p in enumerate(pieces) if self.library.is_byte(i)}
         self.text = [None if s else p for p, s in zip(pieces, special, strict=True)]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.end = self.library.eos_id()
-        if len(self.bytes) != 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in self.score):
+        if len(self.bytes) != 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary needs byte pieces, and no piece may go on over a space or line break")
         self.checked = checked
         self.kept: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, segment: str) -> list[int]:
-        """Piece ids of a segment, by the agenda."""
-        symbols: list[str | None] = list(segment)
-        before, after = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
-        agenda: list[tuple[float, int, int, str]] = []
-        score = self.score
+        """Piece ids of a segment, by the agenda.
 
-        def offer(left: int, right: int) -> None:
-            joined = symbols[left] + symbols[right]
-            if joined in score:
-                heapq.heappush(agenda, (-score[joined][0], left, right, joined))
-
-        for k in range(len(symbols) - 1):
-            offer(k, k + 1)
+        An entry is the joined piece's rank (best score first, equal scores
+        alike) and the place of its left symbol, in one number; it counts only
+        if the symbols at its place still make a piece of that rank.
+        """
+        rank, n = self.rank, len(segment)
+        symbols: list[str] = list(segment)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        agenda = [
+            found << PLACE | k
+            for k in range(n - 1)
+            if (found := rank.get(segment[k : k + 2])) is not None
+        ]
+        heapq.heapify(agenda)
         while agenda:
-            _, left, right, joined = heapq.heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or after[left] != right:
+            entry = heapq.heappop(agenda)
+            left = entry & MOST
+            right = after[left]
+            if right >= n or not symbols[left]:
                 continue
-            if len(symbols[left]) + len(symbols[right]) != len(joined):
-                continue  # one side has grown since
-            symbols[left], symbols[right] = joined, None
-            after[left] = after[right]
-            if after[left] < len(symbols):
-                before[after[left]] = left
-                offer(left, after[left])
-            if before[left] >= 0:
-                offer(before[left], left)
+            joined = symbols[left] + symbols[right]
+            if rank.get(joined) != entry >> PLACE:
+                continue
+            symbols[left], symbols[right] = joined, ""
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                if (found := rank.get(joined + symbols[right])) is not None:
+                    heapq.heappush(agenda, found << PLACE | left)
+            left = before[left]
+            if left >= 0 and (found := rank.get(symbols[left] + joined)) is not None:
+                heapq.heappush(agenda, found << PLACE | left)
         ids: list[int] = []
         for symbol in symbols:
-            if symbol is None:
-                continue
-            if symbol in score:
-                ids.append(score[symbol][1])
-            else:
-                ids += [self.bytes[b] for b in symbol.encode()]
+            if symbol:
+                own = self.ids.get(symbol)
+                if own is None:
+                    ids += [self.bytes[b] for b in symbol.encode()]
+                else:
+                    ids.append(own)
         return ids
 
     def learn(self, segments: list[str]) -> None:
@@ -131,13 +145,20 @@ class Codec:
         return self._segment.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
-        """Each text's ids (32-bit, with the end id) and what they decode to."""
+        """Each text's ids (32-bit, with the end id) and what they decode to.
+
+        Segments are kept in two generations: when the younger is full it
+        becomes the older one, and what is met again comes back from there, so
+        frequent segments stay.
+        """
         cuts = [self.cut(t) for t in texts]
-        new = list(dict.fromkeys(s for c in cuts for s in c if s not in self.kept))
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = list(dict.fromkeys(s for c in cuts for s in c))
-        self.learn(new)
+        wanted = set().union(*cuts)
+        if len(self.kept) + len(wanted - self.kept.keys()) > KEPT // 2:
+            self.older, self.kept = self.kept, {}
+        missing = wanted - self.kept.keys()
+        again = missing & self.older.keys()
+        self.kept.update((s, self.older[s]) for s in again)
+        self.learn(list(missing - again))
         end, kept = array("i", [self.end]).tobytes(), self.kept
         found = [[kept[s] for s in c] for c in cuts]
         return [b"".join([i for i, _ in f]) + end for f in found], ["".join([t for _, t in f])[1:] for f in found]
