@@ -14,14 +14,19 @@ DIGITS = "0123456789"
 # Fixed value: a default token is a maximal run of two or more word characters.
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
-_BLANKS = r"[ \t\n\r\f\x0B]+"
+# The blanks of Unicode, as ranges.
+BLANK_RANGES = (
+    (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+    (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+)
+BLANK_CLASS = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in BLANK_RANGES) + "]+"
 
 
 def clean_message(message: Column) -> Column:
     """Punctuation and digits become blanks; runs of blanks become one; trimmed."""
     marks = PUNCTUATION + DIGITS
     spaced = F.translate(message, marks, " " * len(marks))
-    return F.trim(F.regexp_replace(spaced, _BLANKS, " "))
+    return F.trim(F.regexp_replace(spaced, BLANK_CLASS, " "))
 
 
 def tokenize_default(text: Column) -> Column:
@@ -32,7 +37,7 @@ def tokenize_default(text: Column) -> Column:
 def tokenize_deleting_punctuation(text: Column) -> Column:
     """Lower-case, delete (not blank) punctuation, split on blanks."""
     bare = F.translate(F.lower(text), PUNCTUATION, "")
-    return F.filter(F.split(bare, _BLANKS), lambda t: t != "")
+    return F.filter(F.split(bare, BLANK_CLASS), lambda t: t != "")
 
 
 def ngrams(tokens: Column) -> Column:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from logmetrics.session import materialize
 
-# Above this many disjoint intervals the flag comes from a sorted sweep and not
-# from an array tested on each row.
-INLINE_INTERVALS = 64
-
 
 @dataclass(frozen=True)
 class Interval:
@@ -33,26 +29,16 @@ def label_intervals(
 ) -> DataFrame:
     """Flag rows whose time lies in any interval: 1, else 0.
 
-    A short list becomes a literal array tested on each row: no join, no
-    shuffle. A table of intervals is looked at for its size first; a large one
-    goes through :func:`sweep_intervals`, which never pairs rows with intervals.
+    A list in the caller's program becomes an expression on each row: no join,
+    no shuffle. A table goes through :func:`sweep_intervals`, whatever its size;
+    its rows never come to the driver. Either way an interval with an open
+    (null) bound holds nothing, times are compared without a zone, and a column
+    of the flag's name is replaced.
     """
     if isinstance(intervals, DataFrame):
-        short = intervals.select("start", "end").limit(INLINE_INTERVALS + 1).collect()
-        if len(short) > INLINE_INTERVALS:
-            return sweep_intervals(df, intervals, ts=ts, name=name)
-        spans = [(r["start"], r["end"]) for r in short]
-    else:
-        spans = [(i.start, i.end) for i in intervals]
-    spans = _disjoint(spans)
-    if not spans:
-        return df.withColumn(name, F.lit(0))
-    if len(spans) > INLINE_INTERVALS:
-        table = df.sparkSession.createDataFrame(spans, "start timestamp_ntz, end timestamp_ntz")
-        return sweep_intervals(df, table, ts=ts, name=name)
-    inside = F.lit(False)
-    for start, end in spans:
-        inside = inside | F.col(ts).between(_stamp(start), _stamp(end))
+        return sweep_intervals(df, intervals, ts=ts, name=name)
+    spans = _disjoint([(i.start, i.end) for i in intervals])
+    inside = _any([_at(ts).between(_stamp(a), _stamp(b)) for a, b in spans])
     return df.withColumn(name, F.when(inside, 1).otherwise(0))
 
 
@@ -66,24 +52,27 @@ def sweep_intervals(
     partitions, the count inside it a running sum. Work is one sort of rows
     plus twice the intervals, whatever their overlap.
     """
+    kept = [f for f in df.schema.fields if f.name != name or name == ts]
+    hashed = [F.col(f"`{f.name}`") for f in kept if "map<" not in f.dataType.simpleString()]
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-        F.col(ts).alias("_at"),
+        F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("_row"),
+        F.xxhash64(*hashed).alias("_spread"),
+        _at(ts).alias("_at"),
         F.lit(1).alias("_kind"),
         F.lit(0).cast("long").alias("_step"),
     )
     real = intervals.filter(F.col("start") <= F.col("end"))
     empty = F.lit(None).cast(rows.schema["_row"].dataType)
-    opens = F.struct(F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_s"))
-    closes = F.struct(F.col("end").alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_s"))
+    opens = F.struct(_at("start").alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_s"))
+    closes = F.struct(_at("end").alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_s"))
     edges = (
         real.select(F.inline(F.array(opens, closes)))
         .groupBy("_at", "_kind")
         .agg(F.sum("_s").alias("_step"))
-        .withColumn("_row", empty)
+        .withColumns({"_row": empty, "_spread": F.lit(0).cast("long")})
     )
     # The hash spreads rows of one hot timestamp over several partitions.
-    keyed = rows.unionByName(edges).withColumn("_spread", F.xxhash64("_row"))
+    keyed = rows.unionByName(edges)
     order = ["_at", "_kind", "_spread"]
     stored = materialize(
         keyed.repartitionByRange(*order)
@@ -138,11 +127,16 @@ def inject_events(
                 base = text
         suffix = interval.event if interval.suffix is None else interval.suffix
         texts.append((interval, None if base is None else f"{base} {suffix}"))
-    edited: Column = F.col(message)
-    for interval, text in texts:
-        inside = F.col(ts).between(_stamp(interval.start), _stamp(interval.end))
-        edited = F.when(inside, F.lit(text).cast("string")).otherwise(edited)
-    return df.withColumn(message, edited)
+    # The last interval that covers a row wins; one flat choice, however many there are.
+    choices = [
+        F.when(
+            F.col(ts).between(_stamp(interval.start), _stamp(interval.end)),
+            F.struct(F.lit(text).cast("string").alias("text")),
+        )
+        for interval, text in reversed(texts)
+    ]
+    kept = F.struct(F.col(message).cast("string").alias("text"))
+    return df.withColumn(message, F.coalesce(*choices, kept)["text"])
 
 
 def attach_scores(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
@@ -150,13 +144,26 @@ def attach_scores(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     return rows.join(scores, key, "left")
 
 
+def _at(column: str) -> Column:
+    """A time without a zone; times with one are read in the session's zone."""
+    return F.col(column).cast("timestamp_ntz")
+
+
+def _any(tests: list[Column]) -> Column:
+    """Whether any test holds, as a balanced tree of any length."""
+    if len(tests) <= 1:
+        return tests[0] if tests else F.lit(False)
+    return _any(tests[: len(tests) // 2]) | _any(tests[len(tests) // 2 :])
+
+
 def _stamp(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _disjoint(spans: list[tuple[datetime, datetime]]) -> list[tuple[datetime, datetime]]:
     merged: list[tuple[datetime, datetime]] = []
-    for start, end in sorted(s for s in spans if s[0] <= s[1]):
+    known = [s for s in spans if s[0] is not None and s[1] is not None]
+    for start, end in sorted(s for s in known if s[0] <= s[1]):
         if merged and start <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
         else:

@@ -156,7 +156,7 @@ def fit_with_checkpoints(
             ledger_append(entry, ledger)
             if on_epoch is not None:
                 on_epoch(epoch, metrics)
-        done = ledger_entry(spark, run_id, seq + 1, max_epochs, max_epochs, False, metrics)
+        done = ledger_entry(spark, run_id, seq + 1, max_epochs, max_epochs, False)
         ledger_append(done, ledger)
     finally:
         train.unpersist()

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def resume_point(state: DataFrame, rate: float) -> DataFrame:
-    """Adds the epoch to go on from: int(epochs * rate), not below 0; 0 without
-    recovery."""
-    rewound = F.greatest(F.floor(F.col("epochs") * F.lit(float(rate))), F.lit(0))
-    return state.withColumn(
+    """Adds ``rewound_epoch`` = int(epochs * rate), not below 0, and the epoch to
+    go on from, which is that one for a run in recovery and else 0."""
+    rewound = F.greatest(F.floor(F.col("epochs") * F.lit(float(rate))), F.lit(0)).cast("long")
+    return state.withColumn("rewound_epoch", rewound).withColumn(
         "resume_epoch", F.when(F.col("recovery"), rewound).otherwise(F.lit(0)).cast("long")
     )
 
@@ -32,8 +32,13 @@ def restore_epoch(resumed: DataFrame, checkpoints: DataFrame, weights: str = "la
     )
 
 
-def recovery_epochs(resumed: DataFrame) -> DataFrame:
-    """One row per recovered epoch, "i of max"."""
+# The texts of the reports.
+COMPLETED, POINT = " completed. (recovery)", " recovery point."
+NOT_FOUND = "Not found recovery point."
+
+
+def recovery_epochs(resumed: DataFrame, text: str = COMPLETED) -> DataFrame:
+    """One row per recovered epoch, "i of max" and ``text`` (``COMPLETED`` or ``POINT``)."""
     # sequence(1, 0) would count down, so runs without epochs are left out first.
     some = resumed.filter(F.col("recovery") & (F.col("resume_epoch") > 0))
     return some.select(
@@ -44,26 +49,38 @@ def recovery_epochs(resumed: DataFrame) -> DataFrame:
         "line",
         F.concat(
             F.lit("Epoch "), F.col("epoch").cast("string"), F.lit("/"),
-            F.col("max_epochs").cast("string"), F.lit(" completed. (recovery)"),
+            F.col("max_epochs").cast("string"), F.lit(text),
         ),
     )
 
 
 def recovery_report(resumed: DataFrame) -> DataFrame:
-    """One row per run: resumed share in percent, latest and target epoch, note."""
+    """One row per run: resumed share in percent, latest and target epoch, note.
+
+    The latest epoch is the rewound one whether or not the run is in recovery;
+    the history's own target (``history_target``, runs in recovery only) is the
+    last epoch itself, the interrupt report's the one after it.
+    """
     share = F.col("resume_epoch") / F.nullif(F.col("epochs"), F.lit(0)) * F.lit(100)
     return resumed.select(
         "run_id",
         F.when(F.col("recovery"), F.floor(share).cast("long")).alias("recover_rate"),
-        F.col("resume_epoch").alias("interrupt_latest"),
+        F.col("rewound_epoch").alias("interrupt_latest"),
         (F.col("epochs") + 1).cast("long").alias("interrupt_target"),
-        F.when(F.col("recovery"), "recovery").otherwise("Not found recovery point.").alias("note"),
+        F.when(F.col("recovery"), F.col("epochs").cast("long")).alias("history_target"),
+        F.when(F.col("recovery"), "recovery").otherwise(NOT_FOUND).alias("note"),
     )
 
 
 def history_table(ledger: DataFrame) -> DataFrame:
-    """(run_id, part, epoch, metric, value): ``val_`` metrics are the validation part."""
-    long = ledger.filter(F.col("epoch") > 0).select(
+    """(run_id, part, epoch, metric, value): ``val_`` metrics are the validation part.
+
+    One value for each metric of an epoch: an epoch trained again after a resume
+    counts as last trained, and closing rows (``recovery`` = false) do not count.
+    """
+    trained = ledger.filter((F.col("epoch") > 0) & F.col("recovery"))
+    last = trained.groupBy("run_id", "epoch").agg(F.max_by("metrics", "seq").alias("metrics"))
+    long = last.select(
         "run_id", F.col("epoch").cast("long").alias("epoch"), F.explode("metrics")
     )
     held = F.col("key").startswith("val_")

@@ -64,11 +64,14 @@ def tfidf(
     """tf * (ln((1 + n) / (1 + df)) + 1), each document scaled to length one.
 
     ``n_docs`` is a literal or a scalar subquery. ``terms`` is a stored
-    (term, df) table, by default one written here; further columns of it, such
+    (term, df) table beside stored ``counts``; by default both are written here,
+    so texts are cut into terms once. Further columns of ``terms``, such
     as ``term_id``, stay on the result. A table that measures small is
     broadcast; counts then stay where they are, document by document. A large
     one joins by shuffle, where adaptive execution splits hot terms.
     """
+    if terms is None:
+        counts = materialize(counts, "counts")
     table = _terms(counts, terms)
     idf = (F.ln((n_docs + 1) / (F.col("df") + F.lit(1.0))) + 1).alias("_idf")
     extra = [c for c in table.columns if c not in ("term", "df")]
@@ -105,16 +108,23 @@ def _terms(counts: DataFrame, terms: DataFrame | None) -> DataFrame:
 
 
 def to_feature_vector(
-    weights: DataFrame, width: Column, doc: str = "doc_id", weight: str = "weight"
+    weights: DataFrame,
+    width: Column,
+    doc: str = "doc_id",
+    weight: str = "weight",
+    docs: DataFrame | None = None,
 ) -> DataFrame:
     """Long weights with ``term_id`` to one sparse vector per document.
 
     One document's terms come together, which its own text bounds; the
     vocabulary never leaves the cluster, only its size ``width`` is a scalar.
+    With ``docs`` every one of them has a vector, those without a term a zero one.
     """
     entries = weights.groupBy(doc).agg(
         F.sort_array(F.collect_list(F.struct("term_id", weight))).alias("_entries")
     )
+    if docs is not None:
+        entries = docs.select(doc).join(entries, doc, "left")
     sparse = F.udf(_sparse, VectorUDT(), useArrow=True)
     return entries.select(
         doc,
@@ -127,7 +137,7 @@ def vocabulary_size(terms: DataFrame) -> Column:
 
 
 def _sparse(width, places, values):
-    return Vectors.sparse(int(width), [int(p) for p in places], [float(v) for v in values])
+    return Vectors.sparse(int(width), [int(p) for p in places or []], [float(v) for v in values or []])
 
 
 def lemma_join(

@@ -19,21 +19,26 @@ def shingle(
     size: int = 48,
     series: Sequence[str] = (),
     chunk: int = 4096,
+    indexed: bool = False,
 ) -> DataFrame:
     """``size`` consecutive values as one vector, on the row of the last value.
 
     ``order`` must start with the ``series`` columns and end unique. Chunks of
-    equal length with a halo of ``size - 1`` rows bound every window task.
+    equal length with a halo of ``size - 1`` rows bound every window task. A
+    missing value is a null inside the vectors that cover it; every row from the
+    ``size``-th of a series on has a vector. ``indexed`` rows have their
+    position in ``order`` as ``idx`` already.
     """
-    indexed = row_index(df, *order)
-    haloed = with_halo(indexed, "idx", size=size, chunk=chunk)
+    numbered = df if indexed else row_index(df, *order)
+    haloed = with_halo(numbered, "idx", size=size, chunk=chunk)
     frame = (
         Window.partitionBy(*series, "_chunk").orderBy("idx").rowsBetween(-(size - 1), 0)
     )
     return (
-        haloed.withColumn("features", F.collect_list(F.col(value).cast("double")).over(frame))
-        .filter(~F.col("_halo") & (F.size("features") == size))
-        .drop("_chunk", "_halo")
+        haloed.withColumn("_points", F.collect_list(F.struct(F.col(value).cast("double").alias("v"))).over(frame))
+        .filter(~F.col("_halo") & (F.size("_points") == size))
+        .withColumn("features", F.col("_points.v"))
+        .drop("_chunk", "_halo", "_points")
     )
 
 

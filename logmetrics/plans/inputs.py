@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logmetrics.functions.messages import DIGITS, PUNCTUATION, tokenize_default
+from logmetrics.functions.messages import BLANK_CLASS, DIGITS, PUNCTUATION, tokenize_default
 from logmetrics.operators.intervals import Interval
 from logmetrics.operators.logs import build_log_frame
 from logmetrics.session import scratch_path, spread
@@ -69,7 +69,7 @@ def sql_clean(column: str) -> str:
     """SQL form of clean_message."""
     marks = PUNCTUATION + DIGITS
     spaced = f"translate({column}, {sql_text(marks)}, '{' ' * len(marks)}')"
-    return f"trim(regexp_replace({spaced}, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
+    return f"trim(regexp_replace({spaced}, '{BLANK_CLASS}', ' ', 'g'))"
 
 
 # One log frame per minute, some messages null, to exercise last-value-per-key.

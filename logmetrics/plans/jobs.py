@@ -26,7 +26,7 @@ from logmetrics.operators.forest import rcf_score
 from logmetrics.operators.iforest import iforest_fit, iforest_outliers, iforest_score
 from logmetrics.operators.intervals import Interval, inject_events, label_intervals
 from logmetrics.operators.logs import build_log_frame, last_per_key
-from logmetrics.operators.positions import chrono_split, sample_every
+from logmetrics.operators.positions import chrono_split, row_index, sample_every
 from logmetrics.operators.report import anomaly_report
 from logmetrics.operators.windows import WindowSpec, shingle, sliding_windows, window_slices
 from logmetrics.session import materialize, sized_broadcast
@@ -76,8 +76,8 @@ def log_clusters(
     """Documents to (doc_id, cluster_label).
 
     ``tfidf`` uses default words and pairs; ``bm25`` uses single words with
-    punctuation deleted and lemmas applied. Documents without a term get no
-    label.
+    punctuation deleted and lemmas applied. Every document gets a label; one
+    without a term is a zero vector.
     """
     n = text.corpus_size(docs).scalar()
     if weighting == "tfidf":
@@ -91,7 +91,7 @@ def log_clusters(
         weights = text.bm25_presence(counts, text.bm25_idf(counts, n, terms))
     else:
         raise ValueError(weighting)
-    vectors = text.to_feature_vector(weights, text.vocabulary_size(terms))
+    vectors = text.to_feature_vector(weights, text.vocabulary_size(terms), docs=docs)
     stored = materialize(vectors, "vectors")
     labelled = cluster.kmeans_fit_predict(stored, k=k, max_iter=max_iter, seeds=seeds)
     return labelled.select("doc_id", F.col("cluster_label").cast("long").alias("cluster_label"))
@@ -122,14 +122,17 @@ def series_comparison(
     """Metric series to (series, ts, thousands, rcf, iforest, outlier, event).
 
     Both forests score the same shingled points; scores sit on the last row of
-    a shingle, so the first ``size - 1`` rows of a series have none. (series,
-    ts) must be unique.
+    a shingle, so the first ``size - 1`` rows of a series have none, and neither
+    have rows whose shingle holds a missing value. Rows are numbered once and
+    scores come back by that number, so equal times do no harm.
     """
     flagged = label_intervals(series, intervals, ts=ts)
+    indexed = materialize(row_index(flagged, *group, ts), "indexed")
     shingled = materialize(
-        shingle(flagged, *group, ts, value=value, size=size, series=group), "shingles"
+        shingle(indexed, *group, ts, value=value, size=size, series=group, indexed=True), "shingles"
     )
-    points = shingled.select("idx", "features")
+    whole = F.forall("features", lambda x: x.isNotNull())
+    points = shingled.filter(whole).select("idx", "features")
     rcf = rcf_score(
         points, "idx", num_trees=num_trees, tree_size=tree_size, seed=seed, stored=True
     )
@@ -138,14 +141,9 @@ def series_comparison(
     share = contamination(flagged).first()["contamination"] or 0.0
     outliers = iforest_outliers(raw, share, "idx")
     scaled = minmax_normalize(outliers, ["score"]).withColumnRenamed("score", "iforest")
-    scored = (
-        shingled.select(*group, ts, "idx")
-        .join(rcf.withColumnRenamed("score", "rcf"), "idx", "left")
-        .join(scaled, "idx", "left")
-        .drop("idx")
-    )
-    rows = flagged.withColumn("thousands", F.col(value) / F.lit(1000.0))
-    return rows.join(scored, [*group, ts], "left")
+    rows = indexed.withColumn("thousands", F.col(value) / F.lit(1000.0))
+    scores = rcf.withColumnRenamed("score", "rcf").join(scaled, "idx", "full")
+    return rows.join(scores, "idx", "left").drop("idx")
 
 
 WEATHER_STEMS = {"wv (m/s)": "W", "max. wv (m/s)": "max W"}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from logmetrics.operators import forest as rf
 from logmetrics.operators import iforest as ifo
 from logmetrics.operators.features import minmax_normalize
-from logmetrics.operators.intervals import label_intervals
+from logmetrics.operators.intervals import Interval, label_intervals
 from logmetrics.operators.report import anomaly_report
 from logmetrics.operators.windows import shingle
 from logmetrics.plans import inputs as i
@@ -132,23 +134,26 @@ def series_anomaly_scores(spark, sf_dir):
     points = materialize(
         shingle(flagged, "series", "ts", series=["series"], size=48), "shingles"
     )
-    scores = rf.rcf_score(
-        points, "idx", num_trees=TREES, tree_size=SIZE, seed=SEED, stored=True
-    )
+    scores = rf.rcf_score(points, "idx", num_trees=200, tree_size=1000, seed=SEED, stored=True)
     return points.select("idx", "series", "ts", "value", "event").join(scores, "idx")
 
 
 @query()
 def series_comparison(spark, sf_dir):
-    return jobs.series_comparison(
-        _series(spark, sf_dir), i.FAULTS, group=["series"], num_trees=100, tree_size=256, seed=SEED
-    )
+    return jobs.series_comparison(_series(spark, sf_dir), i.FAULTS, group=["series"], seed=SEED)
 
 
 @query()
 def log_anomalies(spark, sf_dir):
+    """Two faults are injected, from messages that are there: ten and thirty seconds."""
     words = materialize(i.word_vectors(spark, sf_dir), "words")
-    return jobs.log_anomalies(i.logs(spark, sf_dir), words, num_trees=50, seed=SEED)
+    logs = i.logs(spark, sf_dir)
+    starts = logs.filter(F.col("seq").isin(40, 80)).select("log_time").orderBy("log_time").collect()
+    faults = [
+        Interval(name, row["log_time"], row["log_time"] + timedelta(seconds=seconds))
+        for row, name, seconds in zip(starts, ("warning", "error"), (10, 30), strict=True)
+    ]
+    return jobs.log_anomalies(logs, words, faults=faults, seed=SEED)
 
 
 FITTED = f"""{_sampled(50, 512)},
@@ -192,7 +197,7 @@ def rcf_score_against(spark, sf_dir):
 @query()
 def rcf_score_against_vectors(spark, sf_dir):
     points = i.vectors(spark, sf_dir)
-    nodes = materialize(rf.rcf_fit(points, "vec_id", num_trees=20, tree_size=128, seed=SEED), "nodes")
+    nodes = materialize(rf.rcf_fit(points, "vec_id", num_trees=50, tree_size=512, seed=SEED), "nodes")
     return rf.rcf_score_against(points, nodes).select("vec_id", "score")
 
 
@@ -238,7 +243,7 @@ def iforest_score(spark, sf_dir):
 @query()
 def iforest_score_vectors(spark, sf_dir):
     points = i.vectors(spark, sf_dir)
-    nodes = materialize(ifo.iforest_fit(points, "vec_id", num_trees=100, seed=SEED), "nodes")
+    nodes = materialize(ifo.iforest_fit(points, "vec_id", seed=SEED), "nodes")
     return ifo.iforest_score(points, nodes).select("vec_id", "score")
 
 
@@ -289,7 +294,7 @@ def injected_fault_scores(spark, sf_dir):
         flagged.withColumn("value", F.col("value") + F.col("event") * F.lit(500.0)), "spiked"
     )
     scored = jobs.series_comparison(
-        spiked.drop("event"), i.FAULTS, group=["series"], num_trees=100, tree_size=256, seed=SEED
+        spiked.drop("event"), i.FAULTS, group=["series"], seed=SEED
     )
     return scored.groupBy("event").agg(
         F.avg("rcf").alias("rcf"), F.avg("iforest").alias("iforest"),

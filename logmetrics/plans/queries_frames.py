@@ -17,11 +17,13 @@ from logmetrics.plans.catalog import query
 # --- messages ---------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, {i.sql_clean('text')} AS cleaned FROM documents")
+@query(f"""SELECT doc_id,
+  {i.sql_clean("text || chr(160) || ' ' || chr(8195) || 'x' || chr(28)")} AS cleaned
+FROM documents""")
 def clean_message(spark, sf_dir):
-    return i.spread_documents(spark, sf_dir).select(
-        "doc_id", m.clean_message(F.col("text")).alias("cleaned")
-    )
+    """Texts end in blanks of other kinds."""
+    text = F.concat("text", F.lit("\u00a0 \u2003x\u001c"))
+    return i.spread_documents(spark, sf_dir).select("doc_id", m.clean_message(text).alias("cleaned"))
 
 
 @query(f"""WITH {i.LOGS}
@@ -103,19 +105,23 @@ def label_intervals(spark, sf_dir):
 
 
 @query("""WITH spans AS (
-  SELECT ts AS "start", ts + to_microseconds((value * 1000000)::BIGINT) AS "end"
+  SELECT ts AS "start",
+    CASE WHEN event_id % 5 <> 0 THEN ts + to_microseconds((value * 1000000)::BIGINT) END AS "end"
   FROM events WHERE event_type = 'signup')
 SELECT event_id, ts,
   CASE WHEN EXISTS (SELECT 1 FROM spans WHERE ts BETWEEN "start" AND "end") THEN 1 ELSE 0 END
     AS event
 FROM events""")
 def label_intervals_of_table(spark, sf_dir):
+    """Every fifth interval is open, and the rows have a flag already."""
     rows = i.events(spark, sf_dir)
     micros = F.rint(F.col("value") * F.lit(1e6)).cast("long")
+    end = F.when(F.col("event_id") % 5 != 0, F.col("ts") + t.make_delta("microseconds", micros))
     spans = rows.filter(F.col("event_type") == "signup").select(
-        F.col("ts").alias("start"), (F.col("ts") + t.make_delta("microseconds", micros)).alias("end")
+        F.col("ts").alias("start"), end.alias("end")
     )
-    return iv.label_intervals(rows.select("event_id", "ts"), spans)
+    flagged = rows.select("event_id", "ts", F.lit(9).alias("event"))
+    return iv.label_intervals(flagged, spans)
 
 
 INJECT_STARTS = ["2024-01-05 00:00:00", "2024-01-12 00:00:00", "2024-01-12 12:00:00"]

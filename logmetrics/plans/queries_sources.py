@@ -45,23 +45,29 @@ def envelope_header(spark, sf_dir):
     return logs.envelope_header(logs.read_envelopes(spark, path, multi_line=False))
 
 
-@query("SELECT ts, value FROM events")
+@query("SELECT ts, CASE WHEN event_id % 11 <> 0 THEN value END AS value FROM events")
 def read_series_csv(spark, sf_dir):
+    """The value stands behind another number, and every eleventh is NaN."""
     path = scratch_path(spark, "series")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp")
-    i.events(spark, sf_dir).select(stamp, "value").write.csv(path, header=True)
+    value = F.when(F.col("event_id") % 11 == 0, float("nan")).otherwise(F.col("value")).alias("value")
+    i.events(spark, sf_dir).select(stamp, "user_id", value).write.csv(path, header=True)
     return series.read_series_csv(spark, path, time_format="yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
 @query(f"""WITH {i.WEATHER}
 SELECT date_trunc('second', "Date Time") AS "Date Time", "wv (m/s)", "max. wv (m/s)",
-       "wd (deg)", "T (degC)"
+       "wd (deg)", CASE WHEN hour("Date Time") <> 5 THEN "T (degC)" END AS "T (degC)"
 FROM weather""")
 def read_wide_csv(spark, sf_dir):
+    """The file has one more column, the others in another order, and NaN."""
     path = scratch_path(spark, "wide")
     stamp = F.date_format("Date Time", "dd.MM.yyyy HH:mm:ss").alias("Date Time")
-    numbers = [F.col(f"`{c}`") for c in i.WEATHER_COLUMNS]
-    i.weather(spark, sf_dir).select(stamp, *numbers).write.csv(path, header=True)
+    weather = i.weather(spark, sf_dir)
+    degrees = F.when(F.hour("Date Time") == 5, float("nan")).otherwise(F.col("T (degC)"))
+    weather = weather.withColumn("T (degC)", degrees)
+    numbers = [F.col(f"`{c}`") for c in reversed(i.WEATHER_COLUMNS)]
+    weather.select(stamp, F.lit(996.5).alias("p (mbar)"), *numbers).write.csv(path, header=True)
     return series.read_wide_csv(spark, path, i.WEATHER_COLUMNS)
 
 
@@ -177,7 +183,7 @@ def ledger_read(spark, sf_dir):
 
 
 @query(f"""WITH {i.LEDGER}
-SELECT run_id, arg_max(epoch, seq) AS epoch FROM ledger GROUP BY run_id""")
+SELECT run_id, arg_max(epoch, seq) AS epoch FROM ledger WHERE recovery GROUP BY run_id""")
 def latest_checkpoint(spark, sf_dir):
     return store.latest_checkpoint(i.ledger(spark, sf_dir))
 
@@ -197,13 +203,20 @@ def take_record_of_envelope(spark, sf_dir):
 
 
 @query("""SELECT event_id,
-  CASE WHEN event_id % 4 = 1 THEN NULL
+  CASE WHEN event_id % 4 IN (1, 2) THEN NULL
        ELSE (props::JSON ->> 'k')::BIGINT END AS k,
-  CASE WHEN event_id % 4 = 0 THEN NULL
-       WHEN event_id % 4 = 1 THEN ' ' END AS raw
+  CASE WHEN event_id % 4 = 1 THEN ' ' WHEN event_id % 8 = 2 THEN 'plain text ' || event_id
+       WHEN event_id % 8 = 6 THEN '{"k": ' END AS raw
 FROM events""")
 def json_parse(spark, sf_dir):
-    body = F.when(F.col("event_id") % 4 == 1, " ").otherwise(F.col("props"))
+    """Bodies that are JSON, blank, plain text and cut off."""
+    number = F.col("event_id")
+    body = (
+        F.when(number % 4 == 1, " ")
+        .when(number % 8 == 2, F.concat(F.lit("plain text "), number.cast("string")))
+        .when(number % 8 == 6, '{"k": ')
+        .otherwise(F.col("props"))
+    )
     bodies = i.events(spark, sf_dir).select("event_id", body.alias("body"))
     parsed = logs.json_parse(bodies, "body", "k bigint")
     return parsed.select("event_id", F.col("parsed.k").alias("k"), "raw")

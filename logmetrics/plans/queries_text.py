@@ -229,7 +229,7 @@ def total_inertia(spark, sf_dir):
 
 @query()
 def elbow(spark, sf_dir):
-    return k.elbow(i.vectors(spark, sf_dir), starts=3)
+    return k.elbow(i.vectors(spark, sf_dir))
 
 
 ASSIGN = """centres AS (

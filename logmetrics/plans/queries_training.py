@@ -112,7 +112,8 @@ last AS (
          arg_max(recovery, seq) AS recovery
   FROM ledger GROUP BY run_id),
 resumed AS (
-  SELECT *, (CASE WHEN recovery THEN greatest(floor(epochs * 0.88::DOUBLE), 0) ELSE 0 END)::BIGINT
+  SELECT *, greatest(floor(epochs * 0.88::DOUBLE), 0)::BIGINT AS rewound,
+    (CASE WHEN recovery THEN greatest(floor(epochs * 0.88::DOUBLE), 0) ELSE 0 END)::BIGINT
     AS resume_epoch
   FROM last)"""
 
@@ -147,16 +148,20 @@ def restore_epoch(spark, sf_dir):
 e AS (SELECT run_id, max_epochs::BIGINT AS max_epochs, unnest(range(1, resume_epoch + 1)) AS epoch
       FROM resumed)
 SELECT run_id, epoch, max_epochs,
-       'Epoch ' || epoch || '/' || max_epochs || ' completed. (recovery)' AS line FROM e""")
+       'Epoch ' || epoch || '/' || max_epochs || ending AS line
+FROM e, (VALUES (' completed. (recovery)'), (' recovery point.')) AS t(ending)""")
 def recovery_epochs(spark, sf_dir):
-    return rc.recovery_epochs(_resumed(spark, sf_dir))
+    """The lines of either history text."""
+    resumed = _resumed(spark, sf_dir)
+    return rc.recovery_epochs(resumed).unionByName(rc.recovery_epochs(resumed, rc.POINT))
 
 
 @query(f"""WITH {LAST}
 SELECT run_id,
   CASE WHEN recovery THEN floor(resume_epoch::DOUBLE / nullif(epochs, 0) * 100) END::BIGINT
     AS recover_rate,
-  resume_epoch AS interrupt_latest, (epochs + 1)::BIGINT AS interrupt_target,
+  rewound AS interrupt_latest, (epochs + 1)::BIGINT AS interrupt_target,
+  CASE WHEN recovery THEN epochs END::BIGINT AS history_target,
   CASE WHEN recovery THEN 'recovery' ELSE 'Not found recovery point.' END AS note
 FROM resumed""")
 def recovery_report(spark, sf_dir):
@@ -164,11 +169,14 @@ def recovery_report(spark, sf_dir):
 
 
 HISTORY = f"""{i.LEDGER},
+trained AS (
+  SELECT run_id, epoch, arg_max(acc, seq) AS acc, arg_max(loss, seq) AS loss
+  FROM ledger WHERE recovery GROUP BY run_id, epoch),
 history AS (
-  SELECT run_id, 'train' AS part, epoch::BIGINT AS epoch, 'acc' AS metric, acc AS value FROM ledger
-  UNION ALL SELECT run_id, 'train', epoch, 'loss', loss FROM ledger
-  UNION ALL SELECT run_id, 'validation', epoch, 'acc', loss / 2000.0::DOUBLE FROM ledger
-  UNION ALL SELECT run_id, 'validation', epoch, 'loss', loss * 2.0::DOUBLE FROM ledger)"""
+  SELECT run_id, 'train' AS part, epoch::BIGINT AS epoch, 'acc' AS metric, acc AS value FROM trained
+  UNION ALL SELECT run_id, 'train', epoch, 'loss', loss FROM trained
+  UNION ALL SELECT run_id, 'validation', epoch, 'acc', loss / 2000.0::DOUBLE FROM trained
+  UNION ALL SELECT run_id, 'validation', epoch, 'loss', loss * 2.0::DOUBLE FROM trained)"""
 
 
 @query(f"WITH {HISTORY} SELECT run_id, part, epoch, metric, value FROM history")

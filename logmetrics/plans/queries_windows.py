@@ -14,7 +14,7 @@ SPEC = w.WindowSpec(columns=("value", "user_id"), label_columns=("value",))
 
 
 @query("""WITH s AS (
-  SELECT event_type, event_id, value,
+  SELECT event_type, event_id, CASE WHEN event_id % 97 <> 0 THEN value END AS value,
          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn
   FROM events),
 win AS (
@@ -23,7 +23,8 @@ win AS (
   FROM s)
 SELECT event_type, event_id, unnest(range(0, 48)) AS pos, unnest(v) AS x FROM win WHERE rn >= 48""")
 def shingle(spark, sf_dir):
-    rows = i.events(spark, sf_dir).select("event_type", "ts", "event_id", "value")
+    value = F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value")
+    rows = i.events(spark, sf_dir).select("event_type", "ts", "event_id", value)
     points = w.shingle(rows, "event_type", "ts", "event_id", series=["event_type"], size=48)
     return points.select(
         "event_type", "event_id", F.posexplode("features").alias("pos", "x")

@@ -36,11 +36,12 @@ def ledger_entry(
 
 
 def ledger_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All rows; a missing or unreadable ledger reads as empty."""
+    """All rows; a ledger that is not there yet reads as empty, a damaged one is an error."""
     try:
-        reader = spark.read.schema(LEDGER_SCHEMA).option("ignoreCorruptFiles", True)
-        return reader.parquet(path)
-    except AnalysisException:
+        return spark.read.schema(LEDGER_SCHEMA).option("ignoreCorruptFiles", False).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
@@ -85,8 +86,9 @@ def model_load(store: str, run_id: str, epoch: int) -> MultilayerPerceptronClass
 def latest_checkpoint(ledger: DataFrame) -> DataFrame:
     """(run_id, epoch) of the newest checkpoint: the last epoch row written.
 
-    Epochs are rewound by a resume, so newest is by write order.
+    Epochs are rewound by a resume, so newest is by write order. Rows of trained
+    epochs say ``recovery`` and have a saved model; a closing row has none.
     """
-    return ledger.filter(F.col("epoch") > 0).groupBy("run_id").agg(
+    return ledger.filter((F.col("epoch") > 0) & F.col("recovery")).groupBy("run_id").agg(
         F.max_by("epoch", "seq").alias("epoch")
     )

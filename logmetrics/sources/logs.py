@@ -87,17 +87,29 @@ def envelope_header(envelopes: DataFrame) -> DataFrame:
 
 
 def json_parse(df: DataFrame, body: str, schema: T.StructType | str) -> DataFrame:
-    """Parse a JSON text column; the raw text stays for bodies that do not parse."""
+    """Parse a JSON text column; the raw text stays for bodies that do not parse.
+
+    A body that is no JSON, or does not fit the schema, keeps its text in
+    ``raw``; fields that could be read from it are in ``parsed``.
+    """
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    marked = T.StructType([*fields.fields, T.StructField("_broken", T.StringType())])
     text = F.when(F.trim(F.col(body)) != "", F.col(body))
-    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
-    return df.withColumn("parsed", parsed).withColumn(
-        "raw", F.when(text.isNull() | F.col("parsed").isNull(), F.col(body))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = df.withColumn("parsed", F.from_json(text, marked, options))
+    failed = text.isNull() | F.col("parsed").isNull() | F.col("parsed._broken").isNotNull()
+    return parsed.withColumn("raw", F.when(failed, F.col(body))).withColumn(
+        "parsed", F.col("parsed").dropFields("_broken")
     )
 
 
 def to_json_text(df: DataFrame, name: str = "json") -> DataFrame:
-    """Each row as one JSON text; values with no JSON form as their string form."""
-    return df.select(F.to_json(F.struct(*[_plain(f) for f in df.schema.fields])).alias(name))
+    """Each row as one JSON text with all its fields, null or not.
+
+    Values with no JSON form are written as their string form.
+    """
+    row = F.struct(*[_plain(f) for f in df.schema.fields])
+    return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias(name))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:

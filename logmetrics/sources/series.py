@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+def _by_header(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV with every column as text, named by the header.
+
+    Files below one path must have the same header; one that differs is an error.
+    """
+    return spark.read.option("enforceSchema", False).csv(path, header=True)
+
+
+def _number(column: str) -> Column:
+    """A double; what is no number, and NaN, is missing."""
+    return F.nanvl(F.col(f"`{column}`").try_cast("double"), F.lit(None).cast("double"))
+
+
+def _need(frame: DataFrame, columns: list[str]) -> None:
+    missing = [c for c in columns if c not in frame.columns]
+    if missing:
+        raise KeyError(f"columns missing: {missing}")
 
 
 def read_series_csv(
-    spark: SparkSession, path: str, *, time_format: str = "yyyy-MM-dd HH:mm:ss"
+    spark: SparkSession,
+    path: str,
+    *,
+    value: str = "value",
+    time_column: str | None = None,
+    time_format: str = "yyyy-MM-dd HH:mm:ss",
 ) -> DataFrame:
-    """Header CSV of (time, value); the schema is given, never inferred."""
-    reader = spark.read.schema("ts timestamp_ntz, value double")
-    return reader.option("timestampNTZFormat", time_format).csv(path, header=True)
+    """(ts, value) of a header CSV; the time is the first column unless named.
+
+    Columns are found by name in the header, in any order and among others.
+    """
+    frame = _by_header(spark, path)
+    time_column = time_column or frame.columns[0]
+    _need(frame, [time_column, value])
+    stamp = F.try_to_timestamp(F.col(f"`{time_column}`"), F.lit(time_format)).cast("timestamp_ntz")
+    return frame.select(stamp.alias("ts"), _number(value).alias("value"))
 
 
 def read_wide_csv(
@@ -23,14 +52,15 @@ def read_wide_csv(
     time_column: str = "Date Time",
     time_format: str = "dd.MM.yyyy HH:mm:ss",
 ) -> DataFrame:
-    """Header CSV with one day-first time column and many numeric columns."""
-    schema = T.StructType(
-        [T.StructField(time_column, T.StringType())]
-        + [T.StructField(c, T.DoubleType()) for c in numeric]
-    )
-    frame = spark.read.csv(path, header=True, schema=schema)
+    """The time column (day first) and the numeric columns of a header CSV.
+
+    Columns are found by name in the header, in any order and among others; a
+    missing one is an error, a value that is no number, and NaN, is null.
+    """
+    frame = _by_header(spark, path)
+    _need(frame, [time_column, *numeric])
     stamp = F.to_timestamp_ntz(F.col(f"`{time_column}`"), F.lit(time_format))
-    return frame.withColumn(time_column, stamp)
+    return frame.select(stamp.alias(time_column), *[_number(c).alias(c) for c in numeric])
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,7 @@ def test_clean_message(spark):
         "\t a\n\nb  ": "a b",
         "'quoted' \\ back": "quoted back",
         "": "",
+        "\u00a0a\u2003\u001cb\u3000": "a b",
     }
     assert apply(spark, m.clean_message, list(cases)) == list(cases.values())
     assert apply(spark, m.clean_message, [None]) == [None]

@@ -1,6 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from logmetrics.operators import intervals as iv
 
@@ -40,12 +41,29 @@ def test_sweep_equals_brute_force(spark, rows):
     assert got == brute(rows, SPANS)
 
 
-def test_large_table_takes_the_sweep(spark, rows):
-    spans = [(at(7 * k), at(7 * k + k % 5)) for k in range(iv.INLINE_INTERVALS + 10)]
+@pytest.mark.parametrize("number", [3, 70])
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+def test_lists_and_tables_of_any_length_agree(spark, rows, number, kind):
+    """Open bounds hold nothing, a flag column is replaced, a map column stays."""
+    spans = [(at(7 * k), at(7 * k + k % 5)) for k in range(number)]
     table = spark.createDataFrame(spans, "start timestamp_ntz, end timestamp_ntz")
-    by_table = {r["id"]: r["event"] for r in iv.label_intervals(rows, table).collect()}
-    by_list = iv.label_intervals(rows, [iv.Interval("x", a, b) for a, b in spans])
-    assert by_table == {r["id"]: r["event"] for r in by_list.collect()} == brute(rows, spans)
+    table = table.union(spark.sql("SELECT timestamp_ntz'2021-09-15 00:00:00', CAST(NULL AS timestamp_ntz)"))
+    table = table.select(*[F.col(c).cast(kind).alias(c) for c in ("start", "end")])
+    more = rows.withColumns({"event": F.lit(9), "tags": F.create_map(F.lit("a"), F.col("id"))})
+    more = more.withColumn("ts", F.col("ts").cast(kind))
+    open_end = iv.Interval("open", at(0), None)
+    by_list = iv.label_intervals(more, [iv.Interval("x", a, b) for a, b in spans] + [open_end])
+    want = brute(rows, spans)
+    for out in (iv.label_intervals(more, table), by_list):
+        assert sorted(out.columns) == ["event", "id", "tags", "ts"]
+        assert {r["id"]: r["event"] for r in out.collect()} == want
+        assert all(r["tags"] == {"a": r["id"]} for r in out.collect())
+
+
+def test_inject_many_intervals(spark):
+    faults = [iv.Interval(f"e{k}", at(k % 9), at(k % 9)) for k in range(300)]
+    got = {r["time"]: r["message"] for r in iv.inject_events(messages(spark), faults).collect()}
+    assert got[at(9)] == "m9" and got[at(0)].endswith("e288 e297")
 
 
 def messages(spark):

@@ -59,12 +59,18 @@ def test_json_parse_keeps_raw_text(spark):
     assert [(r["parsed"].k if r["parsed"] else None, r["raw"]) for r in got] == [
         (1, None), (None, ""), (None, None),
     ]
+    broken = ["plain text", '{"k": ', '{"k": "no number"}', "[1", '{"k": 2, "more": 1}']
+    df = spark.createDataFrame([(b,) for b in broken], "body string")
+    got = {r["body"]: (r["parsed"].k if r["parsed"] else None, r["raw"]) for r in logs.json_parse(df, "body", "k int").collect()}
+    assert got == {b: (None, b) for b in broken[:4]} | {broken[4]: (2, None)}
 
 
 def test_json_text_uses_string_forms(spark):
     df = spark.createDataFrame([(T1, [1, 2])], "at timestamp_ntz, xs array<int>")
     text = logs.to_json_text(df).first()["json"]
     assert json.loads(text) == {"at": str(T1), "xs": [1, 2]}
+    nulls = spark.createDataFrame([(1, None)], "a int, b string")
+    assert logs.to_json_text(nulls).first()["json"] == '{"a":1,"b":null}'
 
 
 def test_build_log_frame(spark):
@@ -111,6 +117,19 @@ def test_wide_csv_is_day_first(spark, tmp_path):
     assert tuple(row) == (datetime(2009, 1, 2, 0, 10), 1.5, -8.0)
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    """Other columns, another order, NaN and blanks."""
+    text = "Date Time,p (mbar),T (degC),wv (m/s)\n02.01.2009 00:10:00,996.5,-8.0,1.5\n03.01.2009 00:00:00,1,NaN,\n"
+    (tmp_path / "w.csv").write_text(text)
+    rows = series.read_wide_csv(spark, str(tmp_path / "w.csv"), ["wv (m/s)", "T (degC)"]).collect()
+    assert [tuple(r)[1:] for r in rows] == [(1.5, -8.0), (None, None)]
+    with pytest.raises(KeyError):
+        series.read_wide_csv(spark, str(tmp_path / "w.csv"), ["rain (mm)"])
+    (tmp_path / "s.csv").write_text("timestamp,id,value\n2014-07-01 00:00:00,3,NaN\n2014-07-01 00:30:00,4,5\n")
+    rows = series.read_series_csv(spark, str(tmp_path / "s.csv")).collect()
+    assert [r["value"] for r in rows] == [None, 5.0]
+
+
 def test_profile_counts_non_null(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     got = {r["column"]: (r["type"], r["non_null"], r["rows"]) for r in series.profile(df).collect()}

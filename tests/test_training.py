@@ -36,9 +36,11 @@ def test_missing_ledger_gives_defaults(spark, tmp_path):
     assert tuple(state) == ("x", 0, 0.0, 0, 0, False)
 
 
-def test_unreadable_ledger_gives_defaults(spark, tmp_path):
+def test_damaged_ledger_is_an_error(spark, tmp_path):
+    """A damaged file must not rewind a run silently."""
     (tmp_path / "part-0.parquet").write_text("not a table")
-    assert store.ledger_rows(spark, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="part-0"):
+        store.ledger_rows(spark, str(tmp_path)).count()
 
 
 def resumed(spark):
@@ -49,15 +51,28 @@ def resumed(spark):
 def test_recovery_report(spark):
     state, _ = resumed(spark)
     got = {r["run_id"]: tuple(r)[1:] for r in rc.recovery_report(state).collect()}
-    assert got["a"] == (80, 8, 11, "recovery")
-    assert got["b"] == (None, 0, 11, "Not found recovery point.")
-    assert got["c"] == (None, 0, 1, "recovery")
+    assert got["a"] == (80, 8, 11, 10, "recovery")
+    # The interrupt report rewinds whatever the flag says.
+    assert got["b"] == (None, 8, 11, None, "Not found recovery point.")
+    assert got["c"] == (None, 0, 1, 0, "recovery")
 
 
 def test_recovery_epochs(spark):
     state, _ = resumed(spark)
     got = rc.recovery_epochs(state).orderBy("epoch").collect()
     assert [r["line"] for r in got] == [f"Epoch {k}/30 completed. (recovery)" for k in range(1, 9)]
+    got = rc.recovery_epochs(state, rc.POINT).orderBy("epoch").collect()
+    assert [r["line"] for r in got] == [f"Epoch {k}/30 recovery point." for k in range(1, 9)]
+
+
+def test_history_counts_each_epoch_once(spark):
+    """Epoch 2 is trained again after a resume; the closing row repeats no epoch."""
+    rows = ledger(spark, [("a", 1, 1, 3, True, {"loss": 3.0}), ("a", 2, 2, 3, True, {"loss": 2.0}),
+                          ("a", 3, 2, 3, True, {"loss": 1.5}), ("a", 4, 3, 3, True, {"loss": 1.0}),
+                          ("a", 5, 3, 3, False, {"loss": 1.0}), ("b", 1, 9, 9, False, {})])
+    got = {(r["epoch"], r["value"]) for r in rc.history_table(rows).collect()}
+    assert got == {(1, 3.0), (2, 1.5), (3, 1.0)} and rc.history_table(rows).count() == 3
+    assert [tuple(r) for r in store.latest_checkpoint(rows).collect()] == [("a", 3)]
 
 
 def test_restore_epoch(spark):

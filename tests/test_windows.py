@@ -38,6 +38,13 @@ def test_shingle_does_not_depend_on_the_chunk(spark):
 SPEC = w.WindowSpec(columns=("value", "twice"), label_columns=("twice",), input_width=4)
 
 
+def test_shingle_keeps_missing_values(spark):
+    """A null value leaves a hole in the vectors over it and removes none."""
+    rows = frame(spark, 12).withColumn("value", F.when(F.col("value") != 5, F.col("value")))
+    got = [r["features"] for r in w.shingle(rows, "ts", size=3).orderBy("ts").collect()]
+    assert len(got) == 10 and sum(None in v for v in got) == 3
+
+
 def split_rows(spark, n=100):
     return chrono_split(
         frame(spark, n).withColumn("twice", F.col("value") * 2).drop("series"), "ts"
