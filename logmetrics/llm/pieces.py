@@ -33,8 +33,8 @@ from logmetrics.llm.frames import without
 from logmetrics.llm.words import slices, text_buffers
 
 MARK = "▁"
-#: Segments a worker keeps (about 200 bytes each).
-KEPT = 800_000
+#: Segments a worker keeps (about 250 bytes each).
+KEPT = 400_000
 #: Bits of an agenda entry that hold a place.
 PLACE = 40
 MOST = (1 << PLACE) - 1
@@ -68,8 +68,10 @@ class Codec:
         if len(self.bytes) != 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary needs byte pieces, and no piece may go on over a space or line break")
         self.checked = checked
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: Kept segments that decode to something else than themselves.
+        self.odd: dict[str, str] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Piece ids of a segment, by the agenda.
@@ -134,8 +136,9 @@ class Codec:
                 if back[k][1 - lead :] != texts[k][lead:]:
                     raise Mismatch(f"{segment!r}: decoded as {texts[k]!r}, not {back[k]!r}")
         for segment, ids, text in zip(segments, ours, texts, strict=True):
-            plain = segment.replace(MARK, " ")
-            self.kept[segment] = (array("i", ids).tobytes(), plain if text == plain else text)
+            self.kept[segment] = array("i", ids).tobytes()
+            if text != segment.replace(MARK, " "):
+                self.odd[segment] = text
 
     #: A line's segments: space marks with the letters after them; letters at a line's start.
     _segment = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -154,14 +157,16 @@ class Codec:
         cuts = [self.cut(t) for t in texts]
         wanted = set().union(*cuts)
         if len(self.kept) + len(wanted - self.kept.keys()) > KEPT // 2:
-            self.older, self.kept = self.kept, {}
+            self.older = {s: ids for s, ids in self.kept.items() if s not in self.odd}
+            self.kept, self.odd = {}, {}
         missing = wanted - self.kept.keys()
         again = missing & self.older.keys()
         self.kept.update((s, self.older[s]) for s in again)
         self.learn(list(missing - again))
-        end, kept = array("i", [self.end]).tobytes(), self.kept
-        found = [[kept[s] for s in c] for c in cuts]
-        return [b"".join([i for i, _ in f]) + end for f in found], ["".join([t for _, t in f])[1:] for f in found]
+        end, kept, odd = array("i", [self.end]).tobytes(), self.kept, self.odd
+        plain = cuts if not odd else [[odd.get(s, s) for s in c] for c in cuts]
+        ids = [b"".join([kept[s] for s in c]) + end for c in cuts]
+        return ids, ["".join(c)[1:].replace(MARK, " ") for c in plain]
 
     def decode(self, ids: list[int], whole: bool = True) -> str:
         """The text of piece ids: bytes joined as UTF-8, control ids left out.

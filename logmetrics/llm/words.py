@@ -98,7 +98,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each, one row at least."""
     at, n = 0, len(offsets) - 1
     while at < n:
