@@ -4,8 +4,8 @@ Tokens are lower-cased words. A token's log-odds compare its rate in toxic and
 other training documents under Dirichlet priors that are nested: a word's prior
 is centred on the words that share its first five bytes, theirs on those that
 share four, theirs on all tokens; so an unseen form of a known stem scores like
-the stem, and a word seen a few times by chance scores near nothing. One
-standard error is taken off. A toxic passage is modelled as ordinary text with a
+the stem, and a word seen a few times by chance scores near nothing. Half
+a standard error is taken off. A toxic passage is modelled as ordinary text with a
 tenth of toxic tokens, which gives every other token a small negative score.
 
 One linear scan then finds all maximal scoring segments of a text (each as large
@@ -35,7 +35,9 @@ from logmetrics.llm.words import ALNUM_WORDS, U, Words, cut, slices, text_buffer
 
 HEADS = (4, 5)
 #: Share of toxic tokens in a toxic passage, weight of a prior in documents, least toxic documents of a token.
-SHARE, PRIOR, SUPPORT = 0.1, 5.0, 3
+SHARE, PRIOR, SUPPORT = 0.1, 1.0, 3
+#: Standard errors that are taken off the log-odds.
+ERROR = 0.5
 #: A passage is reported when fewer than this many as good are expected by chance.
 SIGNIFICANT = 0.05
 #: Bound on the labelled rows that a model learns from.
@@ -162,7 +164,7 @@ def _fit_tokens(counts: list, base: float) -> Model:
         mean = (bad + PRIOR * centre) / (every + PRIOR)
         rate[level, key] = mean
         error = np.sqrt(1 / (bad + 0.5) + 1 / (every - bad + 0.5))
-        odds = np.log(mean / (1 - mean)) - np.log(base / (1 - base)) - error
+        odds = np.log(mean / (1 - mean)) - np.log(base / (1 - base)) - ERROR * error
         kept[level].append((key, float(np.log(1 - SHARE + SHARE * max(0.0, np.exp(min(odds, 20.0)) - 1)))))
     keys, scores = [], []
     for rows in kept:
