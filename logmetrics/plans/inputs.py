@@ -204,7 +204,7 @@ corpus AS (SELECT count(*) AS n FROM documents)"""
 PUNCT_SQL = sql_text(PUNCTUATION)
 SQL_BARE_WORDS = (
     f"list_filter(regexp_split_to_array(translate(lower(text), {PUNCT_SQL}, ''), "
-    "'[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> '')"
+    f"'{BLANK_CLASS}'), lambda t: t <> '')"
 )
 
 # Word vectors for half of the words, by a hash of the word.

@@ -85,8 +85,7 @@ def log_clusters(
         terms = text.vocabulary(counts)
         weights = text.tfidf(counts, n, terms)
     elif weighting == "bm25":
-        words = _lemmatized(docs, tokenize_deleting_punctuation, lemmas)
-        counts = materialize(words, "counts")
+        counts = materialize(lemma_counts(docs, lemmas), "counts")
         terms = text.vocabulary(counts)
         weights = text.bm25_presence(counts, text.bm25_idf(counts, n, terms))
     else:
@@ -97,7 +96,12 @@ def log_clusters(
     return labelled.select("doc_id", F.col("cluster_label").cast("long").alias("cluster_label"))
 
 
-def _lemmatized(docs: DataFrame, tokens: Tokenizer, lemmas: DataFrame | None) -> DataFrame:
+def lemma_counts(
+    docs: DataFrame,
+    lemmas: DataFrame | None = None,
+    tokens: Tokenizer = tokenize_deleting_punctuation,
+) -> DataFrame:
+    """(doc_id, term, tf) of single words, replaced by their lemma where one is known."""
     if lemmas is None:
         return text.term_counts(docs, tokens=tokens, pairs=False)
     exploded = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))

@@ -59,11 +59,22 @@ lemmas AS (
 SELECT doc_id, pos, coalesce(lemma, token) AS token FROM words LEFT JOIN lemmas USING (token)""")
 def lemma_join(spark, sf_dir):
     tokens = _positions(i.spread_documents(spark, sf_dir), m.tokenize_deleting_punctuation)
+    return t.lemma_join(tokens, _lemmas(tokens))
+
+
+def _lemmas(tokens):
+    """Words that end in s without it, as a table."""
     ending = F.col("token").endswith("s") & (F.length("token") > 3)
     lemmas = tokens.select("token").filter(ending).distinct().withColumn(
         "lemma", F.expr("left(token, length(token) - 1)")
     )
-    return t.lemma_join(tokens, sized_broadcast(materialize(lemmas, "lemmas")))
+    return sized_broadcast(materialize(lemmas, "lemmas"))
+
+
+def _lemma_counts(spark, sf_dir):
+    docs = i.spread_documents(spark, sf_dir)
+    tokens = docs.select(F.explode(m.tokenize_deleting_punctuation(F.col("text"))).alias("token"))
+    return jobs.lemma_counts(docs, _lemmas(tokens))
 
 
 def _counts(spark, sf_dir):
@@ -107,8 +118,12 @@ def tfidf(spark, sf_dir):
     return weights.withColumn("weight", F.round("weight", 6))
 
 
-BM25 = f"""{i.TERMS},
-raw AS (
+BM25 = f"""{LEMMAS},
+counts AS MATERIALIZED (
+  SELECT DISTINCT doc_id, coalesce(lemma, token) AS term FROM words LEFT JOIN lemmas USING (token)),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM counts GROUP BY term),
+corpus AS (SELECT count(*) AS n FROM documents),
+raw AS MATERIALIZED (
   SELECT term, df, ln(n::DOUBLE - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw
   FROM dfs, corpus),
 idfs AS (
@@ -119,14 +134,15 @@ idfs AS (
 
 @query(f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_idf(spark, sf_dir):
-    idf = t.bm25_idf(_counts(spark, sf_dir), _size(spark, sf_dir))
+    """Single words with punctuation deleted and lemmas applied."""
+    idf = t.bm25_idf(_lemma_counts(spark, sf_dir), _size(spark, sf_dir))
     return idf.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"""WITH {BM25}
 SELECT doc_id, term, round(idf, 6) AS weight FROM counts JOIN idfs USING (term)""")
 def bm25_presence(spark, sf_dir):
-    counts = _counts(spark, sf_dir)
+    counts = materialize(_lemma_counts(spark, sf_dir), "counts")
     idf = t.bm25_idf(counts, _size(spark, sf_dir))
     return t.bm25_presence(counts, idf).withColumn("weight", F.round("weight", 6))
 
@@ -259,9 +275,11 @@ def kmeans_assign(spark, sf_dir):
 
 @query()
 def tfidf_clusters(spark, sf_dir):
-    return jobs.log_clusters(i.documents(spark, sf_dir), weighting="tfidf", max_iter=20)
+    return jobs.log_clusters(i.documents(spark, sf_dir), weighting="tfidf", seeds=range(10))
 
 
 @query()
 def bm25_clusters(spark, sf_dir):
-    return jobs.log_clusters(i.documents(spark, sf_dir), weighting="bm25", max_iter=20)
+    docs = i.spread_documents(spark, sf_dir)
+    tokens = docs.select(F.explode(m.tokenize_deleting_punctuation(F.col("text"))).alias("token"))
+    return jobs.log_clusters(docs, weighting="bm25", lemmas=_lemmas(tokens), seeds=range(10))
