@@ -68,7 +68,9 @@ def shuffle_shards(
     row = F.struct(F.xxhash64("place", F.lit(seed + 1)).alias("order"), "place", *[col(c) for c in docs.columns])
     # The order inside a bucket, and of buckets inside a task, does not depend on
     # the order in which rows arrive, so the seeded shuffle repeats exactly.
-    full = rows.groupBy("bucket").agg(F.collect_list(row).alias("rows")).sortWithinPartitions("bucket")
+    # As many tasks as buckets, so that a task's share follows the buckets' size.
+    dealt = rows.repartition(shards * buckets, "bucket")
+    full = dealt.groupBy("bucket").agg(F.collect_list(row).alias("rows")).sortWithinPartitions("bucket")
     by_order = lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).when(
         a["place"] < b["place"], -1
     ).otherwise(1)
