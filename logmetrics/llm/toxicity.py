@@ -229,17 +229,27 @@ def solve_lambda(score: np.ndarray, count: np.ndarray) -> float:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a light ridge."""
+    """Intercept and slope with a light ridge, by Newton steps that never raise the loss."""
     design = np.c_[np.ones(len(x)), x]
-    beta = np.zeros(2)
-    ridge = np.diag([1e-3, 1e-2])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (p - y) + ridge @ beta
-        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge, grad)
-        beta -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+    beta, ridge = np.zeros(2), np.array([1e-3, 1e-2])
+
+    def loss(b: np.ndarray) -> float:
+        z = design @ b
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (ridge * b * b).sum())
+
+    now = loss(beta)
+    for _ in range(200):
+        z = design @ beta
+        p = np.exp(-np.logaddexp(0, -z))
+        grad = design.T @ (p - y) + ridge * beta
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + np.diag(ridge), grad)
+        size = 1.0
+        while size > 1e-9 and loss(beta - size * step) > now:
+            size /= 2
+        if size <= 1e-9 or np.abs(step).max() < 1e-9:
             break
+        beta = beta - size * step
+        now = loss(beta)
     return float(beta[0]), float(beta[1])
 
 

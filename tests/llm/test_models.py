@@ -13,6 +13,7 @@ import corpus_pipeline
 from logmetrics.llm import stages
 from logmetrics.llm.langid import UNKNOWN, predict_languages, subwords, train_languages
 from logmetrics.llm.toxicity import (
+    _logistic,
     drop_toxic_rows,
     held_out,
     score_toxicity,
@@ -115,6 +116,17 @@ def test_lambda_solves_its_equation():
     assert solve_lambda(np.array([-1.0]), np.array([4])) == 1.0
 
 
+@pytest.mark.parametrize("far", [1.0, 6.0, 60.0, 600.0])
+def test_the_curve_separates(far):
+    """Classes far apart must not throw the fit off."""
+    draw = np.random.default_rng(0)
+    x = np.r_[np.zeros(9000), far * 0.1 * draw.random(900), far * (0.9 + 0.2 * draw.random(1100))]
+    y = np.r_[np.zeros(9900), np.ones(1100)]
+    a, b = _logistic(x, y)
+    p = 1 / (1 + np.exp(-(a + b * x)))
+    assert ((p >= 0.7) == (y == 1)).mean() > 0.995
+
+
 INSULTS = ["grub", "snot", "mulch"]
 
 
