@@ -11,19 +11,19 @@ shrink with the document's total weight, so a document catches about
 ``k (ln k + 4)`` darts whatever its length; the few that leave a coordinate
 empty look twice as far.
 
-Bands of four coordinates are joined. A bucket's documents are compared with
-its leader only, the one whose buckets are largest, that is the text most
+Bands of four coordinates are joined. A bucket's documents are first compared
+with its leader, the one whose buckets are largest, that is the text most
 others were made from; a group of thousands costs about one comparison a
-member, and no list of pairs is ever made. Buckets in which someone is not
-similar to the leader are cut finer, by a second and then a third band that
-must agree too, each with a leader picked at random, so that like documents meet
-each other there and unlike ones part. A document makes at most 20, 120 and 120
-comparisons at the three levels, however large the buckets are.
+member. A bucket is settled when all its members are in one class. In every
+other bucket each two members of different classes are compared: the members
+are dealt into blocks of bounded size, those of the leader's class apart from
+the others, and block meets block as two packed records, so no list of pairs is
+made. Blocks of the leader's class never meet each other.
 
 Pairs whose signatures agree in under 60 % of their coordinates are dropped (a
 pair of similarity 0.8 does so once in 100,000 times), all others are checked
-with the exact similarity of the whole texts. Classes are the connected
-components of the links.
+with the exact similarity of the whole texts, in the first bucket that they
+share. Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -42,8 +42,10 @@ from logmetrics.session import materialize
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 20, 4
-#: Bands that must agree at each level, as distances from the first, which goes round.
-LEVELS = (((),), tuple((i,) for i in range(1, 7)), tuple((i, j) for j in range(2, 5) for i in range(1, j)))
+#: Least share of coordinates in which the signatures of a checked pair agree.
+AGREE = 0.6
+#: About how many members, and bytes of their texts, a block of a mixed bucket has.
+BLOCK, BLOCK_BYTES = 512, 1 << 24
 #: Length of the first cell of the rank axis; the next ones double.
 FIRST = 2.0**-6
 
@@ -161,10 +163,11 @@ def _sign(bands: int, rows: int):
                     pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.reshape(-1), pa.int64())
                 )
                 short = (darts >> U(48)).astype(np.uint16)
+                size = np.diff(part).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, n), batch.column(1).slice(begin, n), lists]
-                    + [pa.array([row.tobytes() for row in short], pa.binary())],
-                    ["id", "digest", "keys", "darts"],
+                    + [pa.array([row.tobytes() for row in short], pa.binary()), pa.array(size)],
+                    ["id", "digest", "keys", "darts", "size"],
                 ).filter(pa.array(has))
 
     return sign
@@ -208,6 +211,133 @@ def _alike(least: float):
     return alike
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(tile, its rows) for each stretch of rows of one tile, over the ends of batches."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        tile = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end == begin:
+                continue
+            if held and now != tile[begin]:
+                yield int(now), pa.Table.from_batches(held)
+                held = []
+            now = tile[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield int(now), pa.Table.from_batches(held)
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of ``a`` agrees with each row of ``b``."""
+    if len(a) * len(b) <= 64:
+        return (a[:, None] == b[None]).sum(axis=2)
+    total = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        total += x[:, None] == y
+    return total
+
+
+def _meet(least: float):
+    """One row for each tile that has pairs to check: the texts they need, and the pairs as places among these."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, table in _runs(batches):
+            band = table.column("band")[0].as_py()
+            sides = []
+            for k in range(table.num_rows):
+                rows = table.column("rows")[k].values
+                n = len(rows)
+                node, label = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "label"))
+                darts = np.frombuffer(b"".join(rows.field("darts").to_pylist()), np.uint16).reshape(n, -1)
+                sides.append((node, label, darts, rows.field("keys").flatten().to_numpy().reshape(n, -1)))
+            (a, a_label, a_darts, a_keys), (b, b_label, b_darts, b_keys) = sides[0], sides[-1]
+            x, y = np.nonzero((agreement(a_darts, b_darts) >= least * a_darts.shape[1]) & (a_label[:, None] != b_label))
+            if len(sides) == 1:
+                x, y = x[x < y], y[x < y]
+            first = [(a_keys[p] == b_keys[q]).argmax(axis=1) == band for p, q in zip(_parts(x), _parts(y), strict=True)]
+            first = np.concatenate([np.zeros(0, bool), *first])
+            x, y = x[first], y[first]
+            if not len(x):
+                continue
+            nodes, at = np.unique(np.r_[a[x], b[y]], return_inverse=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([tile], pa.int64()), pa.array([nodes.tolist()], pa.list_(pa.int64()))]
+                + [pa.array([at.astype(np.uint32).tobytes()], pa.binary())],
+                ["tile", "nodes", "pairs"],
+            )
+
+    return meet
+
+
+def _parts(values: np.ndarray, most: int = 1 << 16) -> list[np.ndarray]:
+    return [values[k : k + most] for k in range(0, len(values), most)]
+
+
+def _check_tiles(threshold: float):
+    """Links of each tile that join what no earlier link of the tile has joined."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _runs(batches):
+            # The row of the pairs comes first, then the texts by node.
+            x, y = np.frombuffer(table.column("pairs")[0].as_py(), np.uint32).astype(np.int64).reshape(2, -1)
+            texts = table.slice(1).combine_chunks()
+            found = texts.column("node").to_numpy()
+            nodes, of = np.unique(found, return_inverse=True)
+            links = tile_links(texts.column("text").combine_chunks(), of, len(nodes), x, y, threshold)
+            if links:
+                one, two = (nodes[list(k)] for k in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two)], ["node", "leader"])
+
+    return check
+
+
+def tile_links(texts: pa.Array, of: np.ndarray, n: int, x: np.ndarray, y: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs among (x, y) of similarity ``threshold`` or more, without those that earlier ones connect.
+
+    ``of`` is the node of each text; a node can have several, any of which may be alike.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks)
+    data, offsets = text_buffers(texts)
+    parts = []
+    for begin, end in slices(offsets):
+        part = offsets[begin : end + 1] - offsets[begin]
+        doc, shingle, weight = shingle_weights(data[offsets[begin] : offsets[end]], part)
+        parts.append((doc + begin, shingle, weight))
+    doc, shingle, weight = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(doc, kind="stable")
+    doc, shingle, weight = doc[order], shingle[order], weight[order]
+    names, place = np.unique(shingle, return_inverse=True)
+    ends = np.searchsorted(doc, np.arange(len(of) + 1))
+    total = np.bincount(doc, weight, minlength=len(of))
+    own, group, links = np.zeros(len(names)), np.arange(n), []
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    starts = np.searchsorted(x, np.arange(n + 1))
+    for t, node in enumerate(of.tolist()):
+        wanted = np.zeros(n, bool)
+        wanted[y[starts[node] : starts[node + 1]]] = True
+        wanted &= group != group[node]
+        others = np.flatnonzero(wanted[of])
+        if not len(others):
+            continue
+        mine = slice(ends[t], ends[t + 1])
+        own[place[mine]] = weight[mine]
+        for k in others.tolist():
+            if group[of[k]] == group[node]:
+                continue
+            its = slice(ends[k], ends[k + 1])
+            common = np.minimum(own[place[its]], weight[its]).sum()
+            if common >= threshold * (total[t] + total[k] - common) and common > 0:
+                links.append((node, int(of[k])))
+                group[group == group[of[k]]] = group[node]
+        own[place[mine]] = 0
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, least node of its connected component) for every node of ``edges`` (a, b).
 
@@ -229,6 +359,55 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _classes(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+
+
+def _mixed_links(
+    nodes: DataFrame, members: DataFrame, leaders: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float
+) -> DataFrame:
+    """Links between members of different ``classes`` of a bucket, enough to connect what is linked."""
+    parts = nodes.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
+    named = members.join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lead = leaders.join(classes, leaders.lead == classes.node, "left")
+    lead = lead.select("key", F.coalesce("label", "lead").alias("lead"))
+    named = materialize(named.join(lead, "key").withColumn("near", F.col("label") == F.col("lead")), "named")
+    sums = [
+        f(F.when(F.col("near") == side, value)).cast("double").alias(name)
+        for side, end in ((True, "near"), (False, "far"))
+        for f, value, name in ((F.count, F.lit(1), f"n_{end}"), (F.sum, F.col("size"), f"size_{end}"))
+    ]
+    mixed = named.groupBy("key").agg(*sums).where("n_far > 0")
+    near, far = (
+        F.greatest(F.ceil(F.col(f"n_{e}") / BLOCK), F.ceil(F.coalesce(f"size_{e}", F.lit(0.0)) / BLOCK_BYTES)).cast("int")
+        for e in ("near", "far")
+    )
+    small = (F.col("n_near") + F.col("n_far") <= BLOCK) & (F.col("size_near") + F.col("size_far") <= BLOCK_BYTES)
+    mixed = mixed.select(
+        "key", F.when(small, 0).otherwise(near).alias("p"), F.when(small, 1).otherwise(F.greatest(far, F.lit(1))).alias("q")
+    )
+    # Blocks under p are of the leader's class, the q others of the rest.
+    salt = F.xxhash64("node", F.lit(5))
+    block = F.when((F.col("p") > 0) & F.col("near"), F.pmod(salt, F.greatest("p", F.lit(1))))
+    block = block.otherwise(F.col("p") + F.pmod(salt, F.col("q"))).cast("int")
+    dealt = named.join(mixed, "key").select("key", "band", "node", "label", "p", "q", block.alias("block"))
+    dealt = dealt.join(nodes.select("node", "darts", "keys"), "node")
+    row = F.struct("node", "label", "darts", "keys")
+    blocks = dealt.groupBy("key", "band", "p", "q", "block").agg(F.collect_list(row).alias("rows"))
+    low = F.when(F.col("block") < F.col("p"), F.col("p")).otherwise(F.lit(0))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(low, F.col("p") + F.col("q") - 1)))
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    blocks = blocks.select(tile.alias("tile"), "band", "rows")
+    tiles = blocks.repartition(int(parts), "tile").sortWithinPartitions("tile")
+    tiles = tiles.mapInArrow(_meet(AGREE), "tile bigint, nodes array<bigint>, pairs binary")
+    tiles = materialize(tiles, "tiles")
+    needed = tiles.select("tile", F.explode("nodes").alias("node")).join(texts, "node")
+    needed = needed.select("tile", "node", "text", F.lit(None).cast("binary").alias("pairs"))
+    heads = tiles.select("tile", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("text"), "pairs")
+    rows = heads.union(needed).repartition(int(parts), "tile").sortWithinPartitions("tile", F.col("node").asc_nulls_first())
+    return materialize(rows.mapInArrow(_check_tiles(threshold), "node bigint, leader bigint"), "links")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -248,53 +427,38 @@ def near_duplicates(
     docs = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
     texts = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     signed = texts.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(
-        _sign(bands, band_rows), "id bigint, digest binary, keys array<bigint>, darts binary"
+        _sign(bands, band_rows), "id bigint, digest binary, keys array<bigint>, darts binary, size bigint"
     )
     signed = materialize(signed, "signatures")
     # One node for each distinct text, whatever the number of its copies.
-    first = [F.any_value(c).alias(c) for c in ("keys", "darts")]
+    first = [F.any_value(c).alias(c) for c in ("keys", "darts", "size")]
     nodes = materialize(signed.groupBy("digest").agg(F.min("id").alias("node"), *first), "nodes")
-    held = links = classes = None
-    among = nodes.select("node", "keys", F.col("node").alias("label"))
-    for level, steps in enumerate(LEVELS):
-        places = [[b, *((b + i) % bands for i in step)] for b in range(bands) for step in steps]
-        keys = [F.xxhash64(F.lit(k), *[F.get("keys", F.lit(p)) for p in place]) for k, place in enumerate(places)]
-        rows = among.select("node", "label", F.explode(F.array(*keys)).alias("key"))
-        shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        members = materialize(rows.join(shared, "key"), "members")
-        if level == 0:
-            size = members.groupBy("node").agg(F.sum("n").alias("size"))
-            order = F.struct("size", -F.col("node"))
-            ranked = members.join(size, "node")
-            wanted = members.select("node").distinct()
-            held = docs.where(F.col("text").isNotNull()).join(wanted, docs.id == wanted.node, "left_semi")
-            held = materialize(held.dropDuplicates(["id", "text"]), "texts")
-        else:
-            order, ranked = F.struct(F.xxhash64("key", "node"), "node"), members
-        leaders = ranked.groupBy("key").agg(F.max_by(F.struct("node", "label"), order).alias("lead"))
-        # Who is in the leader's class already, by whatever chain, needs no check.
-        pairs = members.join(leaders, "key").where(F.col("label") != F.col("lead.label"))
-        # Similarity is symmetric: each unordered pair is checked once.
-        low, high = F.least("node", "lead.node"), F.greatest("node", "lead.node")
-        pairs = materialize(pairs.select("key", low.alias("node"), high.alias("leader")), "pairs")
-        fresh = pairs.select("node", "leader").distinct()
-        if links is not None:
-            fresh = fresh.join(links.select("node", "leader"), ["node", "leader"], "left_anti")
-        sign = nodes.select("node", "darts")
-        fresh = fresh.join(sign, "node").join(sign.select(F.col("node").alias("leader"), F.col("darts").alias("other")), "leader")
-        fresh = fresh.select("node", "leader", "darts", "other").mapInArrow(_alike(0.6), "node bigint, leader bigint")
-        one = held.select(F.col("id").alias("node"), "text")
-        two = held.select(F.col("id").alias("leader"), F.col("text").alias("other"))
-        checked = fresh.join(one, "node").join(two, "leader").select("node", "leader", "text", "other")
-        checked = checked.mapInArrow(_check(threshold), "node bigint, leader bigint, linked boolean")
-        checked = materialize(checked.groupBy("node", "leader").agg(F.max("linked").alias("linked")), "links")
-        links = checked if links is None else links.union(checked)
-        good = links.where("linked").select("node", "leader").distinct()
-        classes = components(good.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        unlike = pairs.join(good, ["node", "leader"], "left_anti").select("key").distinct()
-        again = members.join(unlike, "key", "left_semi").select("node").distinct()
-        among = nodes.join(again, "node", "left_semi").join(classes, "node", "left")
-        among = among.select("node", "keys", F.coalesce("label", "node").alias("label"))
+    rows = nodes.select("node", "size", F.posexplode("keys").alias("band", "raw"))
+    rows = rows.select("node", "size", "band", F.xxhash64("band", "raw").alias("key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(rows.join(shared, "key"), "members")
+    width = members.groupBy("node").agg(F.sum("n").alias("width"))
+    held = docs.where(F.col("text").isNotNull()).join(width.select("node"), docs.id == width.node, "left_semi")
+    held = materialize(held.dropDuplicates(["id", "text"]), "texts")
+    order = F.struct("width", -F.col("node"))
+    leaders = members.join(width, "node").groupBy("key").agg(F.max_by("node", order).alias("lead"))
+    leaders = materialize(leaders, "leaders")
+    pairs = members.join(leaders, "key").where("node != lead")
+    # Similarity is symmetric: each unordered pair is checked once.
+    pairs = pairs.select(F.least("node", "lead").alias("node"), F.greatest("node", "lead").alias("leader")).distinct()
+    sign = nodes.select("node", "darts")
+    fresh = pairs.join(sign, "node").join(sign.select(F.col("node").alias("leader"), F.col("darts").alias("other")), "leader")
+    fresh = fresh.select("node", "leader", "darts", "other").mapInArrow(_alike(AGREE), "node bigint, leader bigint")
+    one = held.select(F.col("id").alias("node"), "text")
+    two = held.select(F.col("id").alias("leader"), F.col("text").alias("other"))
+    checked = fresh.join(one, "node").join(two, "leader").select("node", "leader", "text", "other")
+    checked = checked.mapInArrow(_check(threshold), "node bigint, leader bigint, linked boolean")
+    links = materialize(checked.where("linked").select("node", "leader").distinct(), "links")
+    classes = _classes(links)
+    met = _mixed_links(nodes, members, leaders, classes, one, threshold)
+    # Every pair of unlike classes in a mixed bucket has been looked at, so no bucket is left.
+    if met.limit(1).count():
+        classes = _classes(links.union(met))
     copies = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node")
     copies = copies.join(classes, "node", "left").select("id", F.coalesce("label", "node").alias("node"))
     copies = copies.groupBy("id").agg(F.min("node").alias("class_id"))

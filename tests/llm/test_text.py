@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logmetrics.llm import blocks as B
+from logmetrics.llm import neardup
 from logmetrics.llm.decontam import contamination, decontaminate, find_contamination, remove_spans
 from logmetrics.llm.neardup import components, drop_near_duplicates, near_duplicates, similarities
 from logmetrics.llm.substring import dedup_substrings
@@ -233,6 +234,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(r["doc_id"] is None for r in kept) == 1
 
 
+def test_near_duplicates_of_hot_templates(spark, monkeypatch):
+    """Texts of two templates, most pairs a little under 0.8; buckets are cut into several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    texts, draw = [], np.random.default_rng(4)
+    for family in range(2):
+        base = some_words(300 + family, 150)
+        for _ in range(200):
+            w = list(base)
+            for place in draw.choice(len(w), int(draw.integers(1, 6)), replace=False):
+                w[place] = f"slot{family}x{int(draw.integers(0, 4))}"
+            texts.append(" ".join(w).encode())
+    edges = []
+    for k in range(len(texts) - 1):
+        alike = similarities([texts[k]] * (len(texts) - k - 1), texts[k + 1 :]) >= 0.8
+        edges += [(k, k + 1 + int(j)) for j in np.flatnonzero(alike)]
+    want = {k: k for k in range(len(texts))}
+    for _ in texts:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame([(k, t.decode(), "x") for k, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs).collect()}
+    assert got == want and 2 < len(set(want.values())) < len(texts)
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert near_duplicates(empty).count() == 0 and drop_near_duplicates(empty).count() == 0
