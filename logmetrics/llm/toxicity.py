@@ -32,9 +32,10 @@ from pyspark.sql import types as T
 from logmetrics.llm.blocks import Lookup
 from logmetrics.llm.frames import col, without
 from logmetrics.llm.words import ALNUM_WORDS, U, Words, cut, slices, text_buffers
+from logmetrics.session import materialize
 
 HEADS = (4, 5)
-#: Share of toxic tokens in a toxic passage, weight of a prior in documents, least toxic documents of a token.
+#: Share of toxic tokens in a toxic passage, weight of a prior in documents, least toxic documents that raise a score.
 SHARE, PRIOR, SUPPORT = 0.1, 1.0, 3
 #: Standard errors that are taken off the log-odds.
 ERROR = 0.5
@@ -155,23 +156,40 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 )
 
 
-def _fit_tokens(counts: list, base: float) -> Model:
-    """Token scores from (level, key, above, bad, every), beginnings first."""
-    rate: dict[tuple[int, int], float] = {}
-    kept: list[list[tuple[int, float]]] = [[], [], []]
-    for level, key, above, bad, every in sorted(counts, key=lambda r: (-r[0], r[1])):
-        centre = rate.get((level + 1, above), base) if level < 2 else base
-        mean = (bad + PRIOR * centre) / (every + PRIOR)
-        rate[level, key] = mean
-        error = np.sqrt(1 / (bad + 0.5) + 1 / (every - bad + 0.5))
-        odds = np.log(mean / (1 - mean)) - np.log(base / (1 - base)) - ERROR * error
-        kept[level].append((key, float(np.log(1 - SHARE + SHARE * max(0.0, np.exp(min(odds, 20.0)) - 1)))))
+def _fit_tokens(counts: DataFrame, base: float) -> Model:
+    """Token scores from (level, key, above, bad, every), beginnings first, by joins.
+
+    All tokens whose four-byte beginning has a toxic document are fitted, the
+    clean ones too; below any other beginning every token scores the drift.
+    Fewer than SUPPORT toxic documents never lift a token above its beginning,
+    but its clean documents lower it. To the driver come only the rows that
+    score unlike their beginning.
+    """
+    drift = float(np.log(1 - SHARE))
+    rest = float(np.log(base / (1 - base)))
+
+    def fitted(rows: DataFrame, centre: Column) -> DataFrame:
+        rows = rows.withColumn("mean", (F.col("bad") + PRIOR * centre) / (F.col("every") + PRIOR))
+        error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("every") - F.col("bad") + 0.5))
+        odds = F.log(F.col("mean") / (1 - F.col("mean"))) - rest - ERROR * error
+        more = F.greatest(F.lit(0.0), F.exp(F.least(odds, F.lit(20.0))) - 1)
+        score = F.when(more > 0, F.log(1 - SHARE + SHARE * more)).otherwise(drift)
+        few = F.col("bad") < SUPPORT
+        return rows.withColumn("score", F.when(few, F.least(score, "parent")).otherwise(score))
+
+    level = fitted(counts.where("level = 2 AND bad > 0").withColumn("parent", F.lit(drift)), F.lit(base))
+    levels = [level]
+    for k in (1, 0):
+        up = level.select(F.col("key").alias("above"), F.col("mean").alias("centre"), F.col("score").alias("parent"))
+        level = fitted(counts.where(F.col("level") == k).join(up, "above"), F.col("centre"))
+        levels.insert(0, level)
     keys, scores = [], []
-    for rows in kept:
-        key = np.array([k for k, _ in rows], np.int64).view(U)
+    for level in levels:
+        rows = level.where("score != parent").select("key", "score").toArrow()
+        key = rows.column("key").to_numpy().view(U)
         order = np.argsort(key)
         keys.append(key[order])
-        scores.append(np.array([s for _, s in rows], float)[order])
+        scores.append(rows.column("score").to_numpy()[order])
     return Model(tuple(keys), tuple(scores))
 
 
@@ -265,7 +283,7 @@ def train_toxicity(
 
     About ``rows`` of them at most, picked by a hash of the id; all of them when
     there are fewer. Token counts are summed on the executors; to the driver come
-    tokens of at least three toxic documents and one row a training document,
+    tokens that score unlike their beginning and one row a training document,
     both bounded by ``rows``. Null labels and ids are passed over, of repeated
     labels the largest counts; without labels of both classes every text
     scores 0.
@@ -286,8 +304,7 @@ def train_toxicity(
     )
     # Counts are exact, so the sums do not depend on the order of rows.
     base = sizes[1] / (sizes[0] + sizes[1])
-    counted = counts.where(F.col("bad") >= SUPPORT).collect()
-    model = _fit_tokens([tuple(r) for r in counted], base)
+    model = _fit_tokens(materialize(counts, "counts"), base)
     clean = train.where("toxic = 0")
     histogram = clean.mapInArrow(_score_histogram(model), "score bigint, n bigint").groupBy("score").agg(F.sum("n").alias("n"))
     histogram = np.array(sorted(tuple(r) for r in histogram.collect()), float).reshape(-1, 2)

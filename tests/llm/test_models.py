@@ -170,6 +170,24 @@ def test_toxicity_of_held_out_rows(spark):
     assert kept == sorted(str(r["doc_id"]) for r in out if r["tox_predicted"] == 0)
 
 
+def test_clean_words_of_a_toxic_stem_do_not_score(spark):
+    draw, rows, labels = np.random.default_rng(8), [], []
+    for k in range(900):
+        words = prose(draw, "aa", 60).split()
+        if k % 6 == 0:
+            words[5:5] = [f"zork{end}" for end in draw.choice(list("abcdefgh"), 4)]
+        elif k % 30 == 1:
+            words.insert(9, "zorkless")
+        rows.append((k, " ".join(words), "aa", "s", 0))
+        labels.append((k, 1, int(k % 6 == 0)))
+    docs = spark.createDataFrame(rows, DOCS)
+    model = train_toxicity(docs, spark.createDataFrame(labels, LABELS))
+    odd = [(2000, "zorkless " * 6, None, None, None), (2001, "zorka " * 6, None, None, None)]
+    out = {r["doc_id"]: r for r in score_toxicity(spark.createDataFrame(odd, DOCS), model).collect()}
+    assert out[2000]["tox_predicted"] == 0 and not out[2000]["tox_passages"]
+    assert out[2000]["tox_score"] < out[2001]["tox_score"] and out[2001]["tox_passages"]
+
+
 def test_toxicity_without_training(spark):
     docs = spark.createDataFrame([(1, "grub", "aa", "s", 0)], DOCS)
     model = train_toxicity(docs, spark.createDataFrame([], LABELS))
