@@ -11,6 +11,7 @@ from logmetrics.llm.chat import format_conversations, read_conversations
 from logmetrics.llm.decontam import contamination, find_contamination
 from logmetrics.llm.langid import held_out as lang_held_out
 from logmetrics.llm.langid import predict_languages, train_languages
+from logmetrics.llm.middle import move_middles, restore_texts
 from logmetrics.llm.neardup import near_duplicates
 from logmetrics.llm.pieces import encode_pieces
 from logmetrics.llm.sharding import shuffle_shards, text_bytes
@@ -206,3 +207,39 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = first.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
     out = records.join(first, "refers_to", "left")
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+h AS (
+  SELECT *, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(hex, 1, 8) AS BIGINT) AS h1,
+    CAST('0x' || substr(hex, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(hex, 17, 8) AS BIGINT) AS h3,
+    CAST('0x' || substr(hex, 25, 8) AS BIGINT) AS h4
+  FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+         WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and rebuilt from that."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = restore_texts(move_middles(docs, keep_text=False))
+    return out.select(
+        "doc_id",
+        F.col("fim_units").alias("n"),
+        F.col("fim_form").alias("form"),
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2("restored_text", 256).alias("restored_sha256"),
+    )
