@@ -5,13 +5,15 @@ Method: Liu, Ting, Zhou (2008), "Isolation forest".
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logmetrics.operators.forest import sample_trees
-from logmetrics.operators.positions import row_index
+from logmetrics.operators.selection import row_at
 from logmetrics.operators.treescore import (
     by_tree,
     fold_trees,
@@ -63,18 +65,20 @@ def iforest_score(
 def iforest_threshold(
     scores: DataFrame, contamination: float, *tiebreak: str, score: str = "score"
 ) -> DataFrame:
-    """One row: the (1 - contamination) quantile of the scores, interpolated.
+    """One row: the (1 - contamination) quantile of the scores, interpolated; null without scores.
 
-    Exact at any size: the two scores around the quantile are picked by
-    position from a distributed order, not from one task's sorted copy.
+    Exact at any size: the two scores around the quantile are found by counting
+    (see :func:`logmetrics.operators.selection.row_at`), with no sorted copy.
+    Equal scores need no order, so ``tiebreak`` is not looked at.
     """
-    placed = row_index(scores.select(score, *tiebreak), score, *tiebreak, name="_place")
-    at = placed.agg(((F.count(F.lit(1)) - 1) * F.lit(1.0 - contamination)).alias("p")).scalar()
-    picked = placed.filter((F.col("_place") == F.floor(at)) | (F.col("_place") == F.ceil(at)))
+    scores = scores.select(score)
+    at = max(scores.count() - 1, 0) * (1.0 - contamination)
+    below, above = math.floor(at), math.ceil(at)
+    picked = row_at(scores, below, score)
+    if above > below:
+        picked = picked.unionAll(row_at(scores, above, score))
     return picked.agg(
-        (
-            F.min(score) + (F.max(score) - F.min(score)) * F.max(at - F.floor(at))
-        ).alias("threshold")
+        (F.min(score) + (F.max(score) - F.min(score)) * F.lit(at - below)).alias("threshold")
     )
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logmetrics.operators.selection import row_at
 from logmetrics.session import materialize
 
 # monotonically_increasing_id(): partition in the bits above 33, place below.
@@ -129,11 +130,25 @@ def tail_rows(df: DataFrame, idx: str, n: int = 30) -> DataFrame:
     return df.orderBy(F.col(idx).desc()).limit(n)
 
 
+def tail_numbered(df: DataFrame, *order: str, n: int = 30, name: str = "line_no") -> DataFrame:
+    """The last ``n`` rows of an order with their 1-based place in it.
+
+    A count and a per-task top-n on the order's own columns; only ``n`` rows are
+    sorted and numbered.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    back = [F.col(f"`{c}`").desc() for c in order]
+    place = F.row_number().over(Window.orderBy(*back))
+    return df.orderBy(*back).limit(n).withColumn(name, total - place + 1)
+
+
 def take_record(df: DataFrame, *order: str, index: int) -> DataFrame:
-    """The row with this 1-based ordinal; no row below 1 or above the count."""
-    if index < 1:
-        return df.limit(0)
-    return slice_rows(df, *order, start=index - 1, stop=index).drop("idx")
+    """The row with this 1-based ordinal; no row below 1 or above the count.
+
+    Found by counting (see :func:`logmetrics.operators.selection.row_at`): the
+    table is neither sorted nor written.
+    """
+    return row_at(df, index - 1, *order)
 
 
 def take_entry(entries: Column, index: Column | int) -> Column:

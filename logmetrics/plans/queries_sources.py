@@ -150,9 +150,11 @@ def context_lines(spark, sf_dir):
 SELECT row_number() OVER (ORDER BY doc_id, n) AS line_no, line FROM doc_lines
 ORDER BY line_no DESC LIMIT 30""")
 def tail_lines(spark, sf_dir):
-    from logmetrics.operators.positions import tail_rows
+    from logmetrics.operators.positions import tail_numbered
 
-    return tail_rows(_numbered_lines(spark, sf_dir), "line_no", 30)
+    split = lines.split_lines(i.documents(spark, sf_dir), "text", "doc_id")
+    numbered = split.withColumnRenamed("line_no", "n")
+    return tail_numbered(numbered, "doc_id", "n", n=30).select("line_no", "line")
 
 
 def _numbered_lines(spark, sf_dir):
