@@ -14,6 +14,7 @@ from logmetrics.llm.langid import predict_languages, train_languages
 from logmetrics.llm.middle import move_middles, restore_texts
 from logmetrics.llm.neardup import near_duplicates
 from logmetrics.llm.pieces import encode_pieces
+from logmetrics.llm.resample import resample
 from logmetrics.llm.sharding import shuffle_shards, text_bytes
 from logmetrics.llm.substring import dedup_substrings
 from logmetrics.llm.toxicity import held_out, score_toxicity, train_toxicity
@@ -243,3 +244,11 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("fim_text", 256).alias("output_sha256"),
         F.sha2("restored_text", 256).alias("restored_sha256"),
     )
+
+
+@query()
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A twentieth of the documents drawn towards the benchmark's n-grams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = resample(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")

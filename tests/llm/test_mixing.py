@@ -1,7 +1,10 @@
 """Fill-in-the-middle, importance resampling and mixing against brute force."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logmetrics.llm import resample
 from logmetrics.llm.middle import Blocks, move_middles, restore_texts
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -73,3 +77,90 @@ def test_middles_of_words_and_other_markers(spark):
     for marks in (("<P>", "<P>", "<M>"), ("aba", "c", "d"), ("", "c", "d")):
         with pytest.raises(ValueError):
             move_middles(docs, markers=marks)
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def brute_features(text):
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    runs = [" ".join(words[k : k + n]) for n in (1, 2, 3) for k in range(len(words) - n + 1)]
+    return len(words), [zlib.crc32(r.encode()) % 10000 for r in runs]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="aB9 \t.é日-z", max_size=60), st.integers(1, 4))
+def test_spans_are_all_runs(text, at_once):
+    words, buckets = brute_features(text)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(resample, "_AT_ONCE", at_once)
+        n, hit, times = resample.bucket_counts(text.encode(), resample.span_pattern(3), 3, 10000)
+    assert n == words and dict(zip(hit.tolist(), times.tolist())) == Counter(buckets)
+    assert list(hit) == sorted(hit)
+
+
+def brute_resample(rows, target):
+    features = [(i, *brute_features(t)) for i, t in rows]
+    source = Counter(b for *_, f in features for b in f)
+    wanted = Counter(b for t in target for b in brute_features(t)[1])
+    s_all, t_all = sum(source.values()), sum(wanted.values())
+    gain = {
+        b: math.floor(1000 * math.log((wanted[b] + 1) * (s_all + 10000) / ((source[b] + 1) * (t_all + 10000))))
+        for b in source
+    }
+    out = []
+    for i, n, f in features:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append((i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n))
+    able = sorted((-s, i is None, i or 0, w, f, n) for i, f, w, s, n in out if n >= 20)[: 5 * sum(r[4] >= 20 for r in out) // 100]
+    ranks = {}
+    for place, key in enumerate(able):
+        ranks.setdefault(key, []).append(place + 1)
+    result = []
+    for i, f, w, s, n in out:
+        own = ranks.get((-s, i is None, i or 0, w, f, n)) if n >= 20 else None
+        result.append((i, f, w, s, own.pop(0) if own else None, n))
+    return result
+
+
+def resample_rows():
+    draw, rows = np.random.default_rng(9), []
+    for k in range(260):
+        words = [f"w{x}" for x in draw.integers(0, 60 if k % 5 == 0 else 900, int(draw.integers(0, 60)))]
+        rows.append((k, ", ".join(words).title() if k % 2 else " ".join(words)))
+    rows += [(None, " ".join(f"w{x}" for x in range(30))), (1000, None), (1001, ""), (1002, " .. - "), (-4, "é " * 50)]
+    return rows + [(k, "the same words again " * 8) for k in range(2000, 2060)] + [(2000, "the same words again " * 8)] * 30
+
+
+def by_text(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_resampling_against_brute_force(spark):
+    rows = resample_rows()
+    target = ["The same words", None, "w1 w2 w3 w4 w5 " * 10, ""]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], DOCS).repartition(3).withColumn("Rank", F.lit("clash"))
+    items = spark.createDataFrame([(t,) for t in target], "text string")
+    got = resample.resample(docs, items).collect()
+    fields = ("doc_id", "n_features", "weight", "score", "rank", "n_words")
+    assert by_text(tuple(r[f] for f in fields) for r in got) == by_text(brute_resample(rows, target))
+    drawn = sorted(r["rank"] for r in got if r["rank"])
+    assert drawn == list(range(1, len(drawn) + 1)) and len(drawn) == 5 * sum(r["n_words"] >= 20 for r in got) // 100
+    assert {(r["doc_id"], r["text"], r["lang"]) for r in got} == {(i, t, "x") for i, t in rows}
+
+
+def test_resampling_of_little(spark):
+    docs = spark.createDataFrame([(k, "one two " * 15, "x") for k in range(19)], DOCS)
+    none = docs.limit(0)
+    assert resample.resample(none, docs).count() == 0
+    out = resample.resample(docs, none).collect()
+    assert len(out) == 19 and all(r["rank"] is None and r["n_features"] == 87 for r in out)
+    more = resample.resample(docs.unionAll(docs.limit(1)), docs, percent=100).collect()
+    assert sorted(r["rank"] for r in more) == list(range(1, 21))
+
+
+def test_resampling_of_a_long_text(spark):
+    text = "Long words-of a text. " * 40_000
+    row = resample.resample(spark.createDataFrame([(1, text, "x")], DOCS), spark.createDataFrame([(text,)], "text string"))
+    assert row.first()["n_words"] == 200_000 and row.first()["n_features"] == 3 * 200_000 - 3
