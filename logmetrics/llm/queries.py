@@ -12,6 +12,7 @@ from logmetrics.llm.decontam import contamination, find_contamination
 from logmetrics.llm.langid import held_out as lang_held_out
 from logmetrics.llm.langid import predict_languages, train_languages
 from logmetrics.llm.middle import move_middles, restore_texts
+from logmetrics.llm.mix import mix_sources
 from logmetrics.llm.neardup import near_duplicates
 from logmetrics.llm.pieces import encode_pieces
 from logmetrics.llm.resample import resample
@@ -252,3 +253,49 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = resample(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return out.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query(
+    r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    sha256('23:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS hash
+  FROM documents),
+p AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY hash, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nr
+  FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][nr % 3 + 1] AS weight FROM s),
+sums AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+    coalesce(sum(3 * source_size) OVER low, 0) AS held, coalesce(sum(weight) OVER low, 0) AS gone
+  FROM w WINDOW low AS (ORDER BY 3 * source_size / weight, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, weight * (total - held) > 3 * source_size * (weights - gone) AS is_full FROM sums),
+l AS (
+  SELECT any_value(total) AS total, any_value(total) - coalesce(sum(3 * source_size) FILTER (is_full), 0) AS words,
+    any_value(weights) - coalesce(sum(weight) FILTER (is_full), 0) AS shares,
+    greatest(1, least(1024, coalesce(min(source_size) FILTER (source_size > 0), 1) // 256)) AS block
+  FROM f),
+t AS (
+  SELECT nr, source, source_size, total, block,
+    least(CAST(weight * words AS DOUBLE) / CAST(shares AS DOUBLE), CAST(3 * source_size AS DOUBLE)) AS target
+  FROM w, l),
+seats AS (
+  SELECT nr, total, block, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, nr, seat) AS place
+  FROM (SELECT *, unnest(range(0, 3 * source_size // block + 2)) AS seat FROM t WHERE target > 0)),
+q AS (SELECT nr, count(*) AS seats FROM seats WHERE place <= (total + block // 2) // block GROUP BY nr),
+m AS (SELECT t.*, least(coalesce(seats, 0) * block, 3 * source_size) AS taken_words FROM t LEFT JOIN q USING (nr))
+SELECT doc_id, size, source_size, target, CAST(
+    greatest(0, least(before + size, taken_words) - before)
+  + greatest(0, least(before + source_size + size, taken_words) - before - source_size)
+  + greatest(0, least(before + 2 * source_size + size, taken_words) - before - 2 * source_size) AS BIGINT) AS taken
+FROM p JOIN m ON p.source IS NOT DISTINCT FROM m.source
+"""
+)
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes."""
+    out = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logmetrics.llm import resample
+from logmetrics.llm import mix, resample
 from logmetrics.llm.middle import Blocks, move_middles, restore_texts
 
 DOCS = "doc_id bigint, text string, lang string"
@@ -164,3 +165,114 @@ def test_resampling_of_a_long_text(spark):
     text = "Long words-of a text. " * 40_000
     row = resample.resample(spark.createDataFrame([(1, text, "x")], DOCS), spark.createDataFrame([(text,)], "text string"))
     assert row.first()["n_words"] == 200_000 and row.first()["n_features"] == 3 * 200_000 - 3
+
+
+BLANK = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute_targets(sizes, weights=(5, 2, 1), most=3):
+    """(source, target) by sharing again and again, in exact fractions."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, left, free = {}, Fraction(sum(sizes.values())), set(names)
+    while free:
+        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        above = {s for s in free if share[s] > most * sizes[s]}
+        if not above:
+            return names, target | share
+        for s in above:
+            target[s] = Fraction(most * sizes[s])
+            left -= target[s]
+        free -= above
+    return names, target
+
+
+def brute_mix(rows, words, shards, most=3, seed=23):
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(BLANK.findall(t or ""))
+    names, target = brute_targets(sizes, most=most)
+    seats, cuts = dict.fromkeys(names, 0), {s: [0] for s in names}
+    house = (sum(sizes.values()) + words // 2) // words
+    for k in range(1, shards + 1):
+        while sum(seats.values()) < k * house // shards:
+            best = max(names, key=lambda s: (float(target[s]) / (2 * seats[s] + 1), -names.index(s)))
+            seats[best] += 1
+        for s in names:
+            cuts[s].append(seats[s])
+    out = Counter()
+    for source in names:
+        own = [(i, t) for i, t, s in rows if s == source]
+        order = lambda r: (
+            hashlib.sha256(f"{seed}:{'' if r[0] is None else r[0]}:{r[1] or ''}".encode()).hexdigest(),
+            r[0] is not None, r[0] or 0,
+        )
+        stream = [(k, w) for k, (_, t) in enumerate(sorted(own, key=order)) for w in range(len(BLANK.findall(t or "")))]
+        takes = [[] for _ in own]
+        for shard in range(shards):
+            for at in range(cuts[source][shard] * words, min(cuts[source][shard + 1] * words, most * len(stream))):
+                takes[stream[at % len(stream)][0]].append((shard, at // len(stream), stream[at % len(stream)][1]))
+        for (i, t), got in zip(sorted(own, key=order), takes, strict=True):
+            pieces = Counter()
+            for shard, turn, word in got:
+                pieces[shard, turn] += 1
+            first = {key: min(w for s, r, w in got if (s, r) == key) for key in pieces}
+            spans = sorted((turn, shard, first[shard, turn], first[shard, turn] + n) for (shard, turn), n in pieces.items())
+            out[i, t, source, sizes[source], float(target[source]), len(got), tuple(x[1:] for x in spans)] += 1
+    return out
+
+
+def mix_rows(seed):
+    draw, rows = np.random.default_rng(seed), []
+    for k in range(160):
+        source = ["hot", "hot", "b", "Ä", "", None, "tiny"][int(draw.integers(0, 6))] if k else "tiny"
+        rows.append((k, " \t".join(f"w{x}" for x in draw.integers(0, 99, int(draw.integers(0, 40)))), source))
+    rows += [(None, "no id", "b"), (200, None, "b"), (201, "", None), (202, " \n ", "nothing"), (203, None, "nothing")]
+    return rows + [(300, "the same row", "hot")] * 70 + [(k, "the same text", "hot") for k in range(301, 320)]
+
+
+@pytest.mark.parametrize("words,shards,most", [(None, 16, 3), (7, 5, 3), (40, 3, 2)])
+def test_mix_against_brute_force(spark, words, shards, most):
+    rows = mix_rows(words or 0)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    docs = docs.withColumn("Pieces", F.lit(1))
+    got = mix.mix_sources(docs, words=words, shards=shards, most=most, range_rows=8).collect()
+    assert len(got) == len(rows)
+    want = brute_mix(rows, words or 1, shards, most)  # the smallest source has less than 256 words
+    fields = ("doc_id", "source", "source_size", "target", "taken")
+    mine = Counter((*(r[f] for f in fields), tuple(tuple(p) for p in r["pieces"])) for r in got)
+    assert mine == Counter({}) + sum((Counter({(i, s, n, t, k, p): c}) for (i, _, s, n, t, k, p), c in want.items()), Counter())
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= most * r["size"]
+    assert all(abs(taken[s] - t) <= 2 * (words or 1) for s, t in target.items())
+
+
+def test_mixed_texts_are_the_pieces(spark):
+    rows = mix_rows(4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("shard", F.lit("clash"))
+    pieces = mix.mixed_texts(docs, shards=4).collect()
+    taken = Counter()
+    for r in mix.mix_sources(docs, shards=4).collect():
+        for p in r["pieces"]:
+            taken[r["doc_id"], r["source"], p["shard"], p["begin"], p["end"]] += 1
+    text = {(i, s): BLANK.findall(t or "") for i, t, s in rows}
+    assert Counter((r["doc_id"], r["source"], r["shard"], r["begin"], r["end"]) for r in pieces) == taken
+    assert all(r["text"] == " ".join(text[r["doc_id"], r["source"]][r["begin"] : r["end"]]) for r in pieces)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.one_of(st.none(), st.text(max_size=2)), st.integers(0, 50), min_size=1, max_size=6))
+def test_shared_targets_add_up(sizes):
+    _, target = brute_targets(sizes)
+    assert sum(target.values()) == sum(sizes.values()) and all(target[s] <= 3 * n for s, n in sizes.items())
+
+
+def test_mix_of_little(spark):
+    docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id bigint, text string, source string")
+    assert mix.mix_sources(docs.limit(0)).count() == 0
+    assert [(r["target"], r["taken"], r["pieces"]) for r in mix.mix_sources(docs).collect()] == [(0.0, 0, [])] * 2
+    one = spark.createDataFrame([(1, "a b c", "a")], docs.schema)
+    assert mix.mix_sources(one).first()["taken"] == 3 and mix.mixed_texts(one, shards=2).count() == 2
