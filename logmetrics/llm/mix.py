@@ -36,7 +36,7 @@ SEED = 23
 #: Words in a block at most; fewer where the smallest source is small.
 BLOCK_WORDS = 1024
 #: Rows that one hash range of a source should hold.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4096
 ADDED = ("size", "source_size", "target", "taken", "pieces")
 
 
@@ -129,7 +129,7 @@ def word_places(rows: DataFrame, sizes: DataFrame, range_rows: int = RANGE_ROWS)
     alike = alike.join(counts, F.col("source").eqNullSafe(F.col("_s"))).select(*names, "_alike", bucket.alias("_range"))
     alike = materialize(alike, "ranges")
     words = F.col("size") * F.col("_alike")
-    # One row per source and range, a few tens of thousands of documents each.
+    # One row per source and range, a few thousand documents each.
     sums = alike.groupBy("source", "_range").agg(F.sum(words).alias("_words"))
     ahead = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialize(sums.select("source", "_range", F.coalesce(F.sum("_words").over(ahead), F.lit(0)).alias("_ahead")), "sums")
