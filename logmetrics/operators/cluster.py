@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logmetrics.operators.lloyd import fit_all, stored_points
+
 
 def _vectors(df: DataFrame, features: str) -> DataFrame:
     if isinstance(df.schema[features].dataType, T.ArrayType):
@@ -79,47 +83,61 @@ def elbow(
     starts: int = 10,
     seed: int = 0,
     features: str = "features",
+    key: str | None = None,
 ) -> DataFrame:
-    """(k, inertia), best of ``starts`` per k; k = 1 needs no fit."""
-    spark = df.sparkSession
-    rows = []
-    for k in ks:
-        if k == 1:
-            rows.append((1, total_inertia(df, features).first()["inertia"]))
-        else:
-            model = kmeans_fit(
-                df, k=k, max_iter=max_iter, seeds=range(seed, seed + starts), features=features
-            )
-            rows.append((k, float(kmeans_inertia(model))))
-    return spark.createDataFrame(rows, "k bigint, inertia double")
+    """(k, inertia), best of ``starts`` per k; every k and start in the same scans.
+
+    k = 1 has a closed form. ``key`` names a unique column that makes the seeds
+    independent of the row's place; vectors that are null take no part, and
+    without vectors the inertia is null.
+    """
+    ks = list(ks)
+    points = stored_points(df, features, key)
+    if points.isEmpty():
+        return df.sparkSession.createDataFrame([(k, None) for k in ks], "k bigint, inertia double")
+    best = fit_all(points, [k for k in ks if k > 1], starts, seed, max_iter)
+    rows = [
+        (k, float(best[k].inertia if k > 1 else total_inertia(points, "x").first()["inertia"]))
+        for k in ks
+    ]
+    return df.sparkSession.createDataFrame(rows, "k bigint, inertia double")
 
 
 def kmeans_assign(
     df: DataFrame, centres: list[tuple[int, list[float]]], features: str = "features"
 ) -> DataFrame:
-    """Nearest of the given centres, ties to the lowest id.
+    """Nearest of the given centres, ties to the lowest id; null for a missing vector.
 
-    The centres are a list in the caller's program (k vectors), so they go into
-    the expression and no row moves.
+    The centres are a list in the caller's program; they travel as one matrix
+    and no row moves.
     """
-    choices = [
-        F.struct(
-            F.aggregate(
-                F.zip_with(
-                    F.col(features),
-                    F.array(*[F.lit(float(x)) for x in centre]),
-                    lambda x, c: (x.cast("double") - c) * (x.cast("double") - c),
-                ),
-                F.lit(0.0),
-                lambda acc, d: acc + d,
-            ).alias("distance"),
-            F.lit(label).cast("long").alias("label"),
-        )
-        for label, centre in centres
-    ]
-    nearest = choices[0] if len(choices) == 1 else F.least(*choices)
-    return df.withColumn("_near", nearest).select(
-        *df.columns,
-        F.col("_near.label").alias("cluster_label"),
-        F.col("_near.distance").alias("distance"),
+    order = sorted(centres)
+    held = df.sparkSession.sparkContext.broadcast(
+        (np.array([c for c, _ in order], np.int64), np.array([v for _, v in order], float))
+    )
+    df = df.drop("cluster_label", "distance")
+    at = df.columns.index(features)
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("cluster_label", T.LongType()), T.StructField("distance", T.DoubleType())]
     )
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, matrix = held.value
+        for batch in batches:
+            vectors = batch.column(at)
+            known = vectors.is_valid().to_numpy(zero_copy_only=False)
+            x = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+            best, found = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
+            for label, centre in zip(labels, matrix, strict=True):  # the smaller id first
+                distance = np.square(x - centre).sum(axis=1)
+                closer = distance < best
+                best[closer], found[closer] = distance[closer], label
+            out = [np.zeros(len(known), np.int64), np.zeros(len(known))]
+            for to, values in zip(out, (found, best), strict=True):
+                to[known] = values
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(v, mask=~known) for v in out)],
+                [*batch.schema.names, "cluster_label", "distance"],
+            )
+
+    return df.mapInArrow(assign, schema)

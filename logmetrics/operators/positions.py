@@ -163,20 +163,23 @@ def chrono_split(
     train: float = 0.7,
     validation: float = 0.9,
     name: str = "idx",
+    indexed: bool = False,
 ) -> DataFrame:
     """Tag rows train, validation or test by position.
 
+    ``indexed`` rows have their position in ``order`` as column ``name`` already.
+
     The cut points are floors of double products, as in the reference: 90 * 0.7
     is below 63 in double arithmetic.
     """
-    indexed = row_index(df, *order, name=name)
-    n = indexed.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    placed = df if indexed else row_index(df, *order, name=name)
+    n = placed.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     split = (
         F.when(F.col(name) < F.floor(n * F.lit(train)), "train")
         .when(F.col(name) < F.floor(n * F.lit(validation)), "validation")
         .otherwise("test")
     )
-    return indexed.withColumn("split", split)
+    return placed.withColumn("split", split)
 
 
 def with_halo(

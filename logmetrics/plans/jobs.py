@@ -28,6 +28,7 @@ from logmetrics.operators.intervals import Interval, inject_events, label_interv
 from logmetrics.operators.logs import build_log_frame, last_per_key
 from logmetrics.operators.positions import chrono_split, row_index, sample_every
 from logmetrics.operators.report import anomaly_report
+from logmetrics.operators.sparse_cluster import sparse_kmeans
 from logmetrics.operators.windows import WindowSpec, shingle, sliding_windows, window_slices
 from logmetrics.session import materialize, sized_broadcast
 
@@ -72,43 +73,66 @@ def log_clusters(
     max_iter: int = 10_000,
     seeds: Sequence[int] = (42,),
     lemmas: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Documents to (doc_id, cluster_label).
 
     ``tfidf`` uses default words and pairs; ``bm25`` uses single words with
     punctuation deleted and lemmas applied. Every document gets a label; one
-    without a term is a zero vector.
+    without a term is a zero vector. Vectors stay in long form: no row, task or
+    driver object has the vocabulary's width.
     """
     n = text.corpus_size(docs).scalar()
     if weighting == "tfidf":
-        counts = materialize(text.term_counts(docs), "counts")
-        terms = text.vocabulary(counts)
-        weights = text.tfidf(counts, n, terms)
+        weights = text.tfidf(text.term_counts(docs) if counts is None else counts, n)
     elif weighting == "bm25":
-        counts = materialize(lemma_counts(docs, lemmas), "counts")
-        terms = text.vocabulary(counts)
-        weights = text.bm25_presence(counts, text.bm25_idf(counts, n, terms))
+        counts = materialize(lemma_counts(docs, lemmas, counts=counts), "counts")
+        weights = text.bm25_presence(counts, text.bm25_idf(counts, n))
     else:
         raise ValueError(weighting)
-    vectors = text.to_feature_vector(weights, text.vocabulary_size(terms), docs=docs)
-    stored = materialize(vectors, "vectors")
-    labelled = cluster.kmeans_fit_predict(stored, k=k, max_iter=max_iter, seeds=seeds)
-    return labelled.select("doc_id", F.col("cluster_label").cast("long").alias("cluster_label"))
+    stored = materialize(weights.select("doc_id", "term", "weight"), "weights")
+    fit = sparse_kmeans(stored, docs, k=k, max_iter=max_iter, seeds=seeds)
+    return fit.labels.select("doc_id", F.col("cluster_label").cast("long").alias("cluster_label"))
+
+
+def log_elbow(
+    logs: DataFrame,
+    vectors: DataFrame,
+    *,
+    ks: Sequence[int] = (1, 2, 3, 4),
+    starts: int = 10,
+    max_iter: int = 300,
+    seed: int = 0,
+) -> DataFrame:
+    """Log records to (k, inertia): clean, keep the last message per time, embed, cluster.
+
+    All numbers of clusters and starts run in the same scans; the row of k = 2
+    is the inertia of the two-cluster fit. Messages with no known word take no
+    part.
+    """
+    frame = last_per_key(build_log_frame(logs.select("log_time", "message", "seq")))
+    frame = materialize(frame, "messages")
+    embedded = text.embed_lookup(frame, sized_broadcast(vectors), key="time")
+    points = embedded.filter(F.col("features").isNotNull()).select("time", "features")
+    return cluster.elbow(points, ks=ks, starts=starts, max_iter=max_iter, seed=seed, key="time")
 
 
 def lemma_counts(
     docs: DataFrame,
     lemmas: DataFrame | None = None,
     tokens: Tokenizer = tokenize_deleting_punctuation,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """(doc_id, term, tf) of single words, replaced by their lemma where one is known."""
+    """(doc_id, term, tf) of single words, replaced by their lemma where one is known.
+
+    ``counts`` are the words already counted, so that texts are cut only once.
+    """
+    if counts is None:
+        counts = text.term_counts(docs, tokens=tokens, pairs=False)
     if lemmas is None:
-        return text.term_counts(docs, tokens=tokens, pairs=False)
-    exploded = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    joined = text.lemma_join(exploded, lemmas)
-    return joined.groupBy("doc_id", F.col("token").alias("term")).agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+        return counts
+    joined = text.lemma_join(counts.withColumnRenamed("term", "token"), lemmas)
+    return joined.groupBy("doc_id", F.col("token").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def series_comparison(
@@ -166,12 +190,14 @@ def weather_windows(
     Sample one row in six, fix sentinels, build wind and calendar features,
     split by time, scale with the train part's statistics, cut windows.
     """
-    sampled = sample_every(frame, *order, step=step, name="_sampled").drop("_sampled")
+    # Sampled rows are at positions 5, 11, 17, ...: their own position needs no second order.
+    sampled = sample_every(frame, *order, step=step, name="idx", offset=step - 1)
+    sampled = materialize(sampled.withColumn("idx", F.expr(f"(idx - {step - 1}) div {step}")), "sampled")
     fixed = replace_sentinel(sampled, list(WEATHER_STEMS))
     featured = cyclic_time(polar_to_xy(fixed, WEATHER_STEMS, direction), time)
-    keys = {time, *order}
+    keys = {time, *order, "idx"}
     columns = [c for c in featured.columns if c not in keys]
-    parts = chrono_split(featured, *order)
+    parts = chrono_split(featured, *order, indexed=True)
     stats = fit_zscore(parts, columns, F.col("split") == "train")
     scaled = apply_zscore(parts, stats, columns)
     spec = WindowSpec(columns=tuple(columns), label_columns=(label,))

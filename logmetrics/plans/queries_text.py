@@ -71,10 +71,17 @@ def _lemmas(tokens):
     return sized_broadcast(materialize(lemmas, "lemmas"))
 
 
+def _words_once(spark, sf_dir):
+    """(doc_id, term, tf) of words with punctuation deleted, written once, and their lemmas."""
+    docs = i.documents(spark, sf_dir)
+    counts = t.term_counts(docs, tokens=m.tokenize_deleting_punctuation, pairs=False)
+    counts = materialize(counts, "words")
+    return counts, _lemmas(counts.select(F.col("term").alias("token")))
+
+
 def _lemma_counts(spark, sf_dir):
-    docs = i.spread_documents(spark, sf_dir)
-    tokens = docs.select(F.explode(m.tokenize_deleting_punctuation(F.col("text"))).alias("token"))
-    return jobs.lemma_counts(docs, _lemmas(tokens))
+    counts, lemmas = _words_once(spark, sf_dir)
+    return jobs.lemma_counts(None, lemmas, counts=counts)
 
 
 def _counts(spark, sf_dir):
@@ -280,6 +287,58 @@ def tfidf_clusters(spark, sf_dir):
 
 @query()
 def bm25_clusters(spark, sf_dir):
-    docs = i.spread_documents(spark, sf_dir)
-    tokens = docs.select(F.explode(m.tokenize_deleting_punctuation(F.col("text"))).alias("token"))
-    return jobs.log_clusters(docs, weighting="bm25", lemmas=_lemmas(tokens), seeds=range(10))
+    counts, lemmas = _words_once(spark, sf_dir)
+    return jobs.log_clusters(
+        i.documents(spark, sf_dir), weighting="bm25", lemmas=lemmas, counts=counts, seeds=range(10)
+    )
+
+
+# Cleaned log messages repeat: one text per type, and none where the message is
+# missing. With as many clusters as texts each text is a cluster, whatever the seed.
+def _log_texts(spark, sf_dir):
+    message = F.when(F.col("seq") % 7 != 0, m.clean_message(F.col("message")))
+    return i.logs(spark, sf_dir).select(F.col("seq").alias("doc_id"), message.alias("text"))
+
+
+def _text_clusters(spark, sf_dir, weighting):
+    found = jobs.log_clusters(_log_texts(spark, sf_dir), weighting=weighting, k=6, seeds=range(3))
+    firsts = found.groupBy("cluster_label").agg(F.min("doc_id").alias("first_member"))
+    return found.join(F.broadcast(firsts), "cluster_label").select("doc_id", "first_member")
+
+
+LOG_TEXTS = f"""WITH {i.LOGS},
+texts AS (SELECT seq AS doc_id, CASE WHEN seq % 7 <> 0 THEN {i.sql_clean('message')} END AS text FROM logs)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_member FROM texts"""
+
+
+@query(LOG_TEXTS)
+def tfidf_log_clusters(spark, sf_dir):
+    return _text_clusters(spark, sf_dir, "tfidf")
+
+
+@query(LOG_TEXTS)
+def bm25_log_clusters(spark, sf_dir):
+    return _text_clusters(spark, sf_dir, "bm25")
+
+
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type)
+SELECT 1::BIGINT AS k, round(sum(n) - sum(n * n)::DOUBLE / sum(n), 6) AS inertia FROM c
+UNION ALL SELECT 5, 0.0""")
+def elbow_one_hot(spark, sf_dir):
+    """One and five clusters of five points: the spread around the mean, and nothing."""
+    found = k.elbow(_one_hot(spark, sf_dir), ks=(1, 5), starts=4, key="event_id")
+    return found.withColumn("inertia", F.round("inertia", 6))
+
+
+# Two vectors for all messages: errors have one word's, all others the other's.
+@query(f"""WITH {i.LOGS},
+frames AS (SELECT log_time AS time, arg_max(log_type, seq) AS log_type FROM logs GROUP BY log_time),
+c AS (SELECT count(*) FILTER (log_type = 'error') AS a, count(*) FILTER (log_type <> 'error') AS b FROM frames)
+SELECT k, CASE WHEN k = 1 THEN round(a * b / (a + b)::DOUBLE * 25, 6) ELSE 0.0 END AS inertia
+FROM c, (SELECT unnest([1::BIGINT, 2, 3, 4]) AS k)""")
+def log_elbow(spark, sf_dir):
+    """Log messages cleaned, embedded and clustered, with one to four clusters."""
+    words = [(w, [3.0, 4.0] if w == "error" else [0.0, 0.0]) for w in TYPES]
+    vectors = spark.createDataFrame(words, "token string, vector array<double>")
+    found = jobs.log_elbow(i.logs(spark, sf_dir), vectors)
+    return found.withColumn("inertia", F.round("inertia", 6))

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from logmetrics.operators import descent
 from logmetrics.operators import forest as rf
 from logmetrics.operators import learn
 from logmetrics.operators import recovery as rc
@@ -30,10 +31,22 @@ def _parts(spark, sf_dir):
     return rows.filter(train).drop("idx", "split"), rows.filter(~train).drop("idx", "split")
 
 
-@query()
+@query("""SELECT event_id, list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1.0::DOUBLE
+  AS prediction FROM events""")
 def mlp_classifier(spark, sf_dir):
+    """Five separate points with five labels: every row gets its own."""
+    types = ["click", "error", "purchase", "signup", "view"]
+    places = F.array(*[(F.col("event_type") == x).cast("double") for x in types])
+    label = F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1
+    rows = i.events(spark, sf_dir).select("event_id", places.alias("features"), label.alias("label"))
+    model = learn.mlp_classifier(rows, [5, 512, 5], max_iter=30)
+    return learn.classify(rows, model).select("event_id", "prediction")
+
+
+@query()
+def mlp_classifier_vectors(spark, sf_dir):
     train, held = _parts(spark, sf_dir)
-    model = learn.mlp_classifier(train, [64, 32, 10], max_iter=30)
+    model = learn.mlp_classifier(train, [64, 512, 10], max_iter=30)
     return learn.classify(held, model).select("vec_id", "label", "prediction")
 
 
@@ -191,33 +204,62 @@ def history_bounds(spark, sf_dir):
     return rc.history_bounds(rc.history_table(i.ledger(spark, sf_dir)))
 
 
-@query()
-def fit_with_checkpoints(spark, sf_dir):
-    """Train, stop after two epochs, resume at int(2 * 0.88) = 1, finish four."""
-    train, held = _parts(spark, sf_dir)
+class Interrupted(Exception):
+    """Raised between two epochs to stop a run."""
+
+
+def _interrupted_run(spark, train, held, network, **options):
+    """Train, stop after ten epochs, resume at int(10 * 0.88) = 8, finish thirty; the ledger."""
     place = scratch_path(spark, "training")
-    options = {
-        "run_id": "run1", "layers": [64, 16, 10], "store": f"{place}/models",
-        "ledger": f"{place}/ledger", "max_epochs": 4, "step": 3, "rate": 0.88,
+    options |= {
+        "run_id": "run1", "store": f"{place}/models", "ledger": f"{place}/ledger", "max_epochs": 30,
+        "rate": 0.88, "learning_rate": 0.01,
     }
 
-    class Interrupted(Exception):
-        pass
-
     def stop(epoch, metrics):
-        if epoch == 2:
+        if epoch == 10:
             raise Interrupted
 
     try:
-        learn.fit_with_checkpoints(spark, train, held, on_epoch=stop, **options)
+        descent.fit_with_checkpoints(train, held, network, on_epoch=stop, **options)
     except Interrupted:
         pass
-    learn.fit_with_checkpoints(spark, train, held, **options)
-    return store.ledger_rows(spark, f"{place}/ledger").select(
-        "run_id", "seq", "epoch", "max_epochs", "recovery", "metrics"
+    descent.fit_with_checkpoints(train, held, network, **options)
+    rows = store.ledger_rows(spark, f"{place}/ledger")
+    first = rows.agg(F.min_by("metrics", "seq")["loss"].alias("m")).scalar()
+    lower = F.when(F.col("seq") > 1, F.col("metrics")["loss"] < first)
+    return rows.select(
+        "run_id", "seq", "epoch", "max_epochs", "recovery", lower.alias("lower"),
+        F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metrics"),
     )
 
 
+def _ledger_sql(metrics: str) -> str:
+    return f"""WITH seqs AS (SELECT unnest(range(1, 34)) AS seq)
+SELECT 'run1' AS run_id, seq, CASE WHEN seq <= 10 THEN seq WHEN seq <= 32 THEN seq - 2 ELSE 30 END::INTEGER AS epoch,
+  30 AS max_epochs, seq < 33 AS recovery, CASE WHEN seq BETWEEN 2 AND 32 THEN true END AS lower,
+  CASE WHEN seq < 33 THEN '{metrics}' ELSE '' END AS metrics
+FROM seqs"""
+
+
+@query(_ledger_sql("accuracy,loss,val_accuracy,val_loss"))
+def fit_with_checkpoints(spark, sf_dir):
+    """The image classifier's run: 512 hidden units, thirty epochs, one interruption."""
+    train, held = _parts(spark, sf_dir)
+    network = descent.classifier([64, 512, 10])
+    return _interrupted_run(spark, train, held, network, key="vec_id", block_rows=64)
+
+
+@query(_ledger_sql("loss,mae,val_loss,val_mae"))
+def fit_forecaster(spark, sf_dir):
+    """The weather forecaster's run: 24 rows in, 32 units, thirty epochs, one interruption."""
+    windows, spec = jobs.weather_windows(i.weather(spark, sf_dir), "Date Time", "event_id")
+    rows = materialize(descent.forecast_inputs(windows), "windows")
+    parts = [rows.filter(F.col("split") == split) for split in ("train", "validation")]
+    network = descent.forecaster(24 * len(spec.columns), 32)
+    return _interrupted_run(spark, *parts, network, key="idx")
+
+
 # --- streams ----------------------------------------------------------------
 
 
@@ -257,7 +299,7 @@ def stream_log_scores(spark, sf_dir):
     logs = i.logs(spark, sf_dir)
     known = embed_lookup(logs, words, key="seq").filter(F.col("features").isNotNull())
     forest = materialize(
-        rf.rcf_fit(materialize(known, "known"), "seq", num_trees=20, tree_size=128), "forest"
+        rf.rcf_fit(materialize(known, "known"), "seq", num_trees=100, tree_size=256), "forest"
     )
     stream = streams.stream_envelopes(spark, i.landed_envelopes(spark, sf_dir))
     keyed = stream.select(

@@ -91,20 +91,6 @@ def split_dataset(spark, sf_dir):
     )
 
 
-@query("""WITH c AS (SELECT count(*) AS n FROM events)
-SELECT n AS rows, 25::BIGINT AS total_window_size, '0-23' AS inputs, '24' AS labels,
-       'value' AS label_columns FROM c""")
-def window_spec(spark, sf_dir):
-    rows = i.events(spark, sf_dir).agg(F.count(F.lit(1)).alias("rows")).scalar()
-    first, last = F.element_at("input_indices", 1), F.element_at("input_indices", -1)
-    return SPEC.describe(spark).select(
-        rows.alias("rows"), "total_window_size",
-        F.concat(first.cast("string"), F.lit("-"), last.cast("string")).alias("inputs"),
-        F.array_join(F.col("label_indices").cast("array<string>"), ",").alias("labels"),
-        F.array_join("label_columns", ",").alias("label_columns"),
-    )
-
-
 @query("""SELECT event_id, pos, pos // 12 AS batch FROM (
   SELECT event_id, row_number() OVER (ORDER BY md5('11:0:' || event_id), event_id) - 1 AS pos
   FROM events)""")

@@ -95,7 +95,22 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete the folders of tables that :func:`materialize` returned and nothing reads any more.
+
+    For loops that replace a table step by step. Frames derived from a stored
+    one, and others, are left alone.
+    """
+    for df in stored:
+        path = df.__dict__.pop("_stored_path", None)
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:
