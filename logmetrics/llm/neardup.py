@@ -408,23 +408,32 @@ def _mixed_links(
     return materialize(rows.mapInArrow(_check_tiles(threshold), "node bigint, leader bigint"), "links")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    threshold: float = 0.8,
-    bands: int = BANDS,
-    band_rows: int = BAND_ROWS,
-) -> DataFrame:
-    """(id, class_id) for every row: class_id is the least id among the near copies.
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with the column ``node``, another for each text: the least id that has it.
 
-    Documents are near copies when a chain of links joins them; a link is a
-    weighted Jaccard similarity of ``threshold`` or more, or an equal text.
-    A text without words (null, empty, blank) and a row without an id are alone
-    (class_id is the row's own id); rows with the same id are one document;
-    an empty table gives an empty one; other columns are not looked at.
+    Where several texts have the same least id, one of them gets it and the
+    others numbers above all ids; their common id joins them later on.
+    """
+    plain = nodes.withColumn("node", F.col("least"))
+    again = nodes.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = materialize(again, "again")
+    if not again.limit(1).count():
+        return plain
+    several = nodes.select("digest", "least").join(again, "least")
+    firsts = several.groupBy("least").agg(F.min("digest").alias("first"))
+    above = nodes.agg(F.max("least").alias("n")).first()["n"] + 1
+    others = several.join(firsts, "least").where(F.col("digest") != F.col("first"))
+    others = materialize(others.select("digest", (F.monotonically_increasing_id() + above).alias("other")), "others")
+    numbered = nodes.join(others, "digest", "left").withColumn("node", F.coalesce("other", "least"))
+    return materialize(numbered.drop("other"), "numbered")
+
+
+def _labelled(docs: DataFrame, threshold: float, bands: int, band_rows: int) -> DataFrame:
+    """(id, digest, own, label) of every text with words, ``docs`` being (id, text).
+
+    ``own`` is the least node among texts that links join, ``label`` among those
+    that links or a common id join, which is the least id there.
     """
-    docs = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
     texts = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     signed = texts.select("id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(
         _sign(bands, band_rows), "id bigint, digest binary, keys array<bigint>, darts binary, size bigint"
@@ -432,14 +441,16 @@ def near_duplicates(
     signed = materialize(signed, "signatures")
     # One node for each distinct text, whatever the number of its copies.
     first = [F.any_value(c).alias(c) for c in ("keys", "darts", "size")]
-    nodes = materialize(signed.groupBy("digest").agg(F.min("id").alias("node"), *first), "nodes")
+    nodes = _numbered(materialize(signed.groupBy("digest").agg(F.min("id").alias("least"), *first), "nodes"))
     rows = nodes.select("node", "size", F.posexplode("keys").alias("band", "raw"))
     rows = rows.select("node", "size", "band", F.xxhash64("band", "raw").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(rows.join(shared, "key"), "members")
     width = members.groupBy("node").agg(F.sum("n").alias("width"))
-    held = docs.where(F.col("text").isNotNull()).join(width.select("node"), docs.id == width.node, "left_semi")
-    held = materialize(held.dropDuplicates(["id", "text"]), "texts")
+    needed = width.select("node").join(nodes.select("node", "least", "digest"), "node")
+    texts = docs.where(F.col("text").isNotNull()).withColumn("_digest", F.unhex(F.md5("text")))
+    held = texts.join(needed, (F.col("id") == F.col("least")) & (F.col("_digest") == F.col("digest")))
+    held = materialize(held.select("node", "text").dropDuplicates(["node"]), "texts")
     order = F.struct("width", -F.col("node"))
     leaders = members.join(width, "node").groupBy("key").agg(F.max_by("node", order).alias("lead"))
     leaders = materialize(leaders, "leaders")
@@ -449,29 +460,73 @@ def near_duplicates(
     sign = nodes.select("node", "darts")
     fresh = pairs.join(sign, "node").join(sign.select(F.col("node").alias("leader"), F.col("darts").alias("other")), "leader")
     fresh = fresh.select("node", "leader", "darts", "other").mapInArrow(_alike(AGREE), "node bigint, leader bigint")
-    one = held.select(F.col("id").alias("node"), "text")
-    two = held.select(F.col("id").alias("leader"), F.col("text").alias("other"))
+    one, two = held, held.select(F.col("node").alias("leader"), F.col("text").alias("other"))
     checked = fresh.join(one, "node").join(two, "leader").select("node", "leader", "text", "other")
     checked = checked.mapInArrow(_check(threshold), "node bigint, leader bigint, linked boolean")
     links = materialize(checked.where("linked").select("node", "leader").distinct(), "links")
-    classes = _classes(links)
-    met = _mixed_links(nodes, members, leaders, classes, one, threshold)
-    # Every pair of unlike classes in a mixed bucket has been looked at, so no bucket is left.
-    if met.limit(1).count():
-        classes = _classes(links.union(met))
-    copies = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").select("id", "node")
-    copies = copies.join(classes, "node", "left").select("id", F.coalesce("label", "node").alias("node"))
-    copies = copies.groupBy("id").agg(F.min("node").alias("class_id"))
+    def by_links(links: DataFrame) -> DataFrame:
+        classes = _classes(links)
+        met = _mixed_links(nodes, members, leaders, classes, one, threshold)
+        # Every pair of unlike classes in a mixed bucket has been looked at, so no bucket is left.
+        return links.union(met) if met.limit(1).count() else links
+
+    links = by_links(links)
+    copies = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").distinct()
+    copies = materialize(copies, "copies")
+    # Rows with the same id are one document, whatever their texts.
+    bounds = copies.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    same = materialize(copies.join(bounds, "id").where("node != low").select("node", F.col("low").alias("leader")), "same")
+    own = _classes(links).withColumnRenamed("label", "own")
+    label = _classes(links.union(same)) if same.limit(1).count() else own.withColumnRenamed("own", "label")
+    out = copies.join(own, "node", "left").join(label, "node", "left")
+    return out.select("id", "digest", F.coalesce("own", "node").alias("own"), F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """(id, class_id) for every row: class_id is the least id among the near copies.
+
+    Documents are near copies when a chain of links joins them; a link is a
+    weighted Jaccard similarity of ``threshold`` or more, or an equal text.
+    A text without words (null, empty, blank) and a row without an id are alone
+    (class_id is the row's own id); rows with the same id are one document;
+    an empty table gives an empty one; other columns are not looked at.
+    """
+    docs = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
+    labelled = _labelled(docs, threshold, bands, band_rows)
+    copies = labelled.groupBy("id").agg(F.min("label").alias("class_id"))
     out = docs.select("id").join(copies, "id", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each class of :func:`near_duplicates`, the one with the least id, with all its columns.
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = 0.8,
+    bands: int = BANDS,
+    band_rows: int = BAND_ROWS,
+) -> DataFrame:
+    """The document with the least id of each class of :func:`near_duplicates`, with all its columns.
 
-    Rows without an id all stay.
+    Where rows with that id have texts that no chain of links joins, one row of
+    each such text stays (of texts that one does join, that with the least md5;
+    of equal texts any row), so that no text is lost. An id without any word
+    keeps one of its rows. Rows without an id all stay.
     """
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    keep = classes.where(col(id_col) == F.col("class_id")).select(F.col("class_id").alias("_keep")).distinct()
-    stay = docs.join(keep, col(id_col) == F.col("_keep")).dropDuplicates([id_col]).drop("_keep")
-    return stay.unionByName(docs.where(col(id_col).isNull()))
+    slim = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
+    labelled = materialize(_labelled(slim, threshold, bands, band_rows), "labelled")
+    kept = labelled.where("id = label").groupBy("id", "own").agg(F.min("digest").alias("_digest"))
+    kept = kept.select(F.col("id").alias("_id"), "_digest")
+    key = col(id_col).cast("bigint")
+    digest = F.unhex(F.md5(col(text_col)))
+    stay = docs.join(kept, (key == F.col("_id")) & (digest == F.col("_digest"))).dropDuplicates(["_id", "_digest"])
+    wordless = docs.join(labelled.select(F.col("id").alias("_id")).distinct(), key == F.col("_id"), "left_anti")
+    wordless = wordless.where(col(id_col).isNotNull()).dropDuplicates([id_col])
+    return stay.drop("_id", "_digest").unionByName(wordless).unionByName(docs.where(col(id_col).isNull()))

@@ -201,12 +201,18 @@ def near_rows():
     rows += [(at + k, " ".join(boiler + some_words(900 + k, 60))) for k in range(40)]
     at += 40
     rows += [(at, None), (at + 1, ""), (at + 2, ""), (at + 3, "two words"), (at + 4, "two words"), (None, rows[0][1])]
-    return rows + [rows[3], rows[3], (at + 9, rows[0][1])]
+    rows += [rows[3], rows[3], (at + 9, rows[0][1])]
+    # Ids with several texts: 5005 joins the texts of 5001 and 5002; 5007 has two unlike ones.
+    a, b, c, d = (" ".join(some_words(700 + k, 80)) for k in range(4))
+    rows += [(5001, a), (5002, b), (5005, a), (5005, b), (5007, c), (5007, d), (5007, None), (5008, c + " end"), (5009, d)]
+    return rows + [(5007, c), (5011, ""), (5011, None)]
 
 
 def brute_classes(rows):
     ids = sorted({i for i, _ in rows if i is not None})
-    text = {i: t for i, t in rows if i is not None}
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append(t)
     root = {i: i for i in ids}
 
     def find(i):
@@ -216,7 +222,7 @@ def brute_classes(rows):
 
     for a in ids:
         for b in ids:
-            if a < b and weights(text[a]) and brute_similarity(text[a], text[b]) >= 0.8:
+            if a < b and any(weights(x) and brute_similarity(x, y) >= 0.8 for x in text[a] for y in text[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: find(i) for i in ids}
@@ -230,7 +236,11 @@ def test_near_duplicates_against_brute_force(spark):
     want = brute_classes(rows)
     assert {r["doc_id"]: r["class_id"] for r in out} == want | {None: None}
     kept = drop_near_duplicates(docs).collect()
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
+    # One document of each class, with both its texts where they are unlike.
+    once = sorted(r["doc_id"] for r in kept if r["doc_id"] is not None)
+    assert once == sorted([*set(want.values()), 5007])
+    texts = {i: {t for k, t in rows if k == i} for i in (5007,)}
+    assert {r["text"] for r in kept if r["doc_id"] == 5007} == texts[5007] - {None}
     assert sum(r["doc_id"] is None for r in kept) == 1
 
 
