@@ -9,8 +9,11 @@ No piece crosses from a letter to a following space mark or over a line break
 (checked on the vocabulary), so texts fall into segments that encode on their
 own: space marks and the letters after them. Every worker keeps the segments it
 has seen, up to a bound, so each is encoded once for most of its occurrences.
-Each Arrow batch's new segments are also encoded and decoded by the
-sentencepiece library and must come out alike.
+Short new segments of a batch are merged together, as rows of symbol numbers:
+each step takes from every row its best pair, so that the order inside a
+segment is the agenda's; long ones go through an agenda of their own. All new
+segments are also encoded and decoded by the sentencepiece library, many in one
+text; where one should come out otherwise, the library's pieces are taken.
 
 The model file is opened on the driver and travels as bytes.
 """
@@ -34,18 +37,20 @@ from logmetrics.llm.words import slices, text_buffers
 
 MARK = "▁"
 #: Segments a worker keeps (about 250 bytes each).
-KEPT = 400_000
+KEPT = 1_000_000
 #: Bits of an agenda entry that hold a place.
 PLACE = 40
 MOST = (1 << PLACE) - 1
+#: The rank of what makes no piece.
+MOST_RANK = np.iinfo(np.int32).max
 ADDED = ("piece_ids", "piece_text")
+#: Row widths of segments that are merged together; longer ones have their own agenda.
+WIDTHS = (4, 8, 12, 16, 24, 32)
+#: Segments shown to the library as one text.
+SHOWN = 1000
 _WORKERS: dict[tuple[bytes, bool], Codec] = {}
 
 
-class Mismatch(RuntimeError):
-    """Our encoding of a segment is not the library's."""
-
-
 class Codec:
     """One vocabulary, with the segments encoded so far."""
 
@@ -67,7 +72,12 @@ class Codec:
         self.end = self.library.eos_id()
         if len(self.bytes) != 256 or any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary needs byte pieces, and no piece may go on over a space or line break")
+        start = array("i", self.library.encode("\n")).tobytes()
+        self.lead, self.line = start[:4], start[4:]
         self.checked = checked
+        #: Segments for which the library's pieces were taken.
+        self.mismatches = 0
+        self._pair_table()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         #: Kept segments that decode to something else than themselves.
@@ -117,28 +127,134 @@ class Codec:
                     ids.append(own)
         return ids
 
-    def learn(self, segments: list[str]) -> None:
-        """Encode new segments, check them with the library, and keep them.
+    def _pair_table(self) -> None:
+        """Numbers of symbols (pieces, and characters of pieces) and, sorted by key, the pairs that make a piece."""
+        number = dict(self.ids)
+        for piece in self.ids:
+            for c in piece:
+                number.setdefault(c, len(self.text) + len(number))
+        self.none = max(number.values()) + 1  # of other characters, and beyond a segment's end
+        self.symbol = np.full(0x110000, self.none, np.int32)
+        for c, i in number.items():
+            if len(c) == 1:
+                self.symbol[ord(c)] = i
+        pairs = {}
+        for piece, i in self.ids.items():
+            for cut in range(1, len(piece)):
+                left, right = number.get(piece[:cut]), number.get(piece[cut:])
+                if left is not None and right is not None:
+                    pairs[left * (self.none + 1) + right] = (self.rank[piece], i)
+        keys = sorted(pairs)
+        self.pair_key = np.array([*keys, np.iinfo(np.int64).max], np.int64)
+        self.pair_rank = np.array([*(pairs[k][0] for k in keys), MOST_RANK], np.int32)
+        self.pair_piece = np.array([*(pairs[k][1] for k in keys), self.none], np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of pairs in the table; the last place for those that make no piece."""
+        key = left.astype(np.int64) * (self.none + 1) + right
+        place = np.searchsorted(self.pair_key, key)
+        return np.where(self.pair_key[place] == key, place, len(self.pair_key) - 1).astype(np.int32)
+
+    def _merge_rows(self, rows: np.ndarray) -> np.ndarray:
+        """Rows of symbols, filled up with ``none``, merged until no pair makes a piece."""
+        out, alive = np.full_like(rows, self.none), np.arange(len(rows))
+        columns = np.arange(rows.shape[1])[None]
+        last = len(self.pair_key) - 1
+        pairs = np.full(rows.shape, last, np.int32)  # pair k joins symbols k and k + 1
+        pairs[:, :-1] = self._pairs(rows[:, :-1], rows[:, 1:])
+        while len(rows):
+            ranks = self.pair_rank[pairs]
+            at = ranks.argmin(axis=1)  # the leftmost of the best
+            every = np.arange(len(rows))
+            going = ranks[every, at] < MOST_RANK
+            if not going.all():
+                out[alive[~going]] = rows[~going]
+                rows, pairs, at, alive = rows[going], pairs[going], at[going], alive[going]
+                every = every[: len(rows)]
+                if not len(rows):
+                    break
+            joined = self.pair_piece[pairs[every, at]]
+            shift = np.minimum(columns + (columns > at[:, None]), rows.shape[1] - 1)
+            rows, pairs = np.take_along_axis(rows, shift, 1), np.take_along_axis(pairs, shift, 1)
+            rows[:, -1], pairs[:, -1] = self.none, last
+            rows[every, at] = joined
+            pairs[every, at] = self._pairs(joined, rows[every, np.minimum(at + 1, rows.shape[1] - 1)])
+            inner = np.flatnonzero(at > 0)
+            before = at[inner] - 1
+            pairs[inner, before] = self._pairs(rows[inner, before], joined[inner])
+        return out
+
+    def merge_all(self, segments: list[str]) -> tuple[list[bytes], list[int]]:
+        """Piece ids of many segments, each as 32-bit numbers; which of them may hold byte pieces."""
+        found: list[bytes] = [b""] * len(segments)
+        codes = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(s) for s in segments], np.int64)
+        symbols, starts = self.symbol[codes], np.cumsum(lengths) - lengths
+        odd = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum((symbols >= len(self.text)), out=odd[1:])  # characters that are no piece are spelled in bytes
+        spelled = odd[starts + lengths] > odd[starts]
+        alone = spelled | (lengths > WIDTHS[-1])
+        for k in np.flatnonzero(alone).tolist():
+            found[k] = array("i", self.merge(segments[k])).tobytes()
+        for low, width in zip((0, *WIDTHS[:-1]), WIDTHS, strict=True):
+            own = np.flatnonzero((lengths > low) & (lengths <= width) & ~alone)
+            if not len(own):
+                continue
+            columns = np.arange(width)[None]
+            place = np.minimum(starts[own, None] + columns, len(symbols) - 1)
+            rows = np.where(columns < lengths[own, None], symbols[place], np.int32(self.none))
+            merged = self._merge_rows(rows.astype(np.int32))
+            held = merged != self.none
+            ends = np.cumsum(held.sum(axis=1)) * 4
+            data, at = merged[held].tobytes(), 0
+            for k, end in zip(own.tolist(), ends.tolist(), strict=True):
+                found[k], at = data[at:end], end
+        return found, np.flatnonzero(spelled).tolist()
 
-        The library puts a space mark before any text, which is our first mark;
-        a segment that follows a line break is shown to it with the break.
-        """
-        ours = [self.merge(s) for s in segments]
-        texts = [self.decode(ids, whole=False) for ids in ours]
+    def learn(self, segments: list[str]) -> None:
+        """Encode new segments, check them with the library, and keep them."""
+        ours, spelled = self.merge_all(segments)
+        texts = [s.replace(MARK, " ") for s in segments]
+        plain = list(texts)
+        for k in spelled:  # only bytes can read as something else
+            texts[k] = self.decode(np.frombuffer(ours[k], np.int32).tolist(), whole=False)
         if self.checked:
-            shown = [s[1:].replace(MARK, " ") if s[:1] == MARK else "\n" + s for s in segments]
-            theirs = self.library.encode(shown, num_threads=1)
-            back = self.library.decode(theirs)
-            for k, segment in enumerate(segments):
-                skip, lead = (0, 1) if segment[:1] == MARK else (2, 0)
-                if shown[k] and theirs[k][skip:] != ours[k]:
-                    raise Mismatch(f"{segment!r}: {ours[k]} is not {theirs[k][skip:]}")
-                if back[k][1 - lead :] != texts[k][lead:]:
-                    raise Mismatch(f"{segment!r}: decoded as {texts[k]!r}, not {back[k]!r}")
-        for segment, ids, text in zip(segments, ours, texts, strict=True):
-            self.kept[segment] = array("i", ids).tobytes()
-            if text != segment.replace(MARK, " "):
-                self.odd[segment] = text
+            for at in range(0, len(segments), SHOWN):
+                part = slice(at, at + SHOWN)
+                if not self._alike(segments[part], ours[part], texts[part]):
+                    for k in range(at, min(at + SHOWN, len(segments))):
+                        ours[k], texts[k] = self._library(segments[k], ours[k], texts[k])
+        self.kept.update(zip(segments, ours, strict=True))
+        if texts != plain:
+            self.odd.update((s, t) for s, t, p in zip(segments, texts, plain, strict=True) if t != p)
+
+    def _alike(self, segments: list[str], ours: list[bytes], texts: list[str]) -> bool:
+        """Whether the library encodes and decodes the segments, as lines of one text, as we do.
+
+        It puts a space mark before any text; each segment follows a line break.
+        """
+        theirs = self.library.encode("\n" + "\n".join(segments).replace(MARK, " "))
+        return (
+            array("i", theirs).tobytes() == self.lead + self.line + self.line.join(ours)
+            and self.library.decode(theirs) == "\n" + "\n".join(texts)
+        )
+
+    def _library(self, segment: str, ids: bytes, text: str) -> tuple[bytes, str]:
+        """The library's pieces and text of one segment, counted where they are not ours.
+
+        The mark before any text is a segment's own first one; a segment without
+        marks is shown after a line break. What is all blank stays ours: the
+        library cannot be shown it alone.
+        """
+        shown = segment[1:].replace(MARK, " ") if segment[:1] == MARK else "\n" + segment
+        skip, lead = (0, 1) if segment[:1] == MARK else (2, 0)
+        if not shown:
+            return ids, text
+        theirs = self.library.encode(shown)
+        back = (" " if lead else "") + self.library.decode(theirs)[1 - lead :]
+        other = array("i", theirs[skip:]).tobytes()
+        self.mismatches += other != ids or back != text
+        return other, back
 
     #: A line's segments: space marks with the letters after them; letters at a line's start.
     _segment = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
