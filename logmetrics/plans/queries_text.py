@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logmetrics.functions import messages as m
 from logmetrics.operators import cluster as k
+from logmetrics.operators import cooccurrence as co
 from logmetrics.operators import embedding as em
 from logmetrics.operators import text as t
 from logmetrics.plans import inputs as i
@@ -191,8 +192,22 @@ def embed_lookup(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, {i.SQL_WORDS} AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS token, len(w) AS n FROM w),
+known AS (SELECT DISTINCT token FROM words WHERE n > 1)
+SELECT doc_id, CASE WHEN EXISTS (SELECT 1 FROM words JOIN known USING (token) WHERE words.doc_id = w.doc_id)
+  THEN 16 END AS size FROM w""")
 def embed_train(spark, sf_dir):
+    """Vectors of all documents from the corpus' own word vectors: who has one, and of which size."""
+    docs = i.documents(spark, sf_dir)
+    table = materialize(co.embed_cooccurrence(docs, size=16), "words")
+    embedded = t.embed_lookup(docs, sized_broadcast(table), key="doc_id", text="text", combine="mean")
+    size = F.when(F.forall("features", lambda x: ~F.isnan(x)), F.size("features"))
+    return embedded.select("doc_id", size.alias("size"))
+
+
+@query()
+def embed_train_word2vec(spark, sf_dir):
     docs = i.documents(spark, sf_dir)
     table = em.word_table(em.embed_train(docs, size=16, partitions=8))
     embedded = t.embed_lookup(docs, table, key="doc_id", text="text", combine="mean")
