@@ -471,11 +471,11 @@ def _labelled(docs: DataFrame, threshold: float, bands: int, band_rows: int) ->
         return links.union(met) if met.limit(1).count() else links
 
     links = by_links(links)
-    copies = signed.select("id", "digest").join(nodes.select("digest", "node"), "digest").distinct()
-    copies = materialize(copies, "copies")
+    # Nothing but the write follows the join, so that a hot text's copies can be split over tasks.
+    copies = materialize(signed.select("id", "digest").join(nodes.select("digest", "node"), "digest"), "copies")
     # Rows with the same id are one document, whatever their texts.
     bounds = copies.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    same = materialize(copies.join(bounds, "id").where("node != low").select("node", F.col("low").alias("leader")), "same")
+    same = materialize(copies.join(bounds, "id").where("node != low").select("node", F.col("low").alias("leader")).distinct(), "same")
     own = _classes(links).withColumnRenamed("label", "own")
     label = _classes(links.union(same)) if same.limit(1).count() else own.withColumnRenamed("own", "label")
     out = copies.join(own, "node", "left").join(label, "node", "left")
