@@ -22,6 +22,7 @@ from logmetrics.operators.treescore import (
     vectors_of,
 )
 from logmetrics.operators.trees import isolation_depths, isolation_tree, mean_path
+from logmetrics.session import materialize
 
 NODE_SCHEMA = (
     "tree bigint, node int, parent int, left int, right int, dim int, cut double, n bigint"
@@ -52,6 +53,7 @@ def iforest_score(
     points: DataFrame, nodes: DataFrame, *, features: str = "features", name: str = "score"
 ) -> DataFrame:
     """2 ^ (-mean path / c(sample size)) for every row; larger is odder."""
+    nodes = nodes if hasattr(nodes, "_stored_path") else materialize(nodes, "nodes")  # read twice
     packed = pack_trees(nodes, plain_tree)
     depths = fold_trees(points, packed, features=features, name=name, score=isolation_depths)
     root = nodes.filter(F.col("node") == 0).agg(F.max("n").alias("n")).first()["n"] or 0

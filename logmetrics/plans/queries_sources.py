@@ -10,7 +10,7 @@ from logmetrics.plans import inputs as i
 from logmetrics.plans.catalog import query
 from logmetrics.session import scratch_path
 from logmetrics.sources import ledger as store
-from logmetrics.sources import lines, logs, series
+from logmetrics.sources import lines, logs, logstore, series
 
 
 @query(f"""WITH {i.ENVELOPES}
@@ -22,10 +22,13 @@ def read_log_envelopes(spark, sf_dir):
     return rows.select("log_type", "searchTime", "pos", "log_time", "message")
 
 
-@query(f"""WITH {i.LOGS}
+SEARCH = f"""WITH {i.LOGS}
 SELECT seq, log_time, log_type, message FROM logs
 WHERE log_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'
-  AND log_type = 'error' AND contains(message, '[4')""")
+  AND log_type = 'error' AND contains(message, '%s')"""
+
+
+@query(SEARCH % "[4")
 def search_logs(spark, sf_dir):
     return logs.search_logs(
         i.logs(spark, sf_dir),
@@ -36,6 +39,17 @@ def search_logs(spark, sf_dir):
     )
 
 
+@query(SEARCH % "error[42")
+def search_landed_logs(spark, sf_dir):
+    """All log rows landed by date and type, then searched through the side table."""
+    path = scratch_path(spark, "store")
+    logstore.land_logs(i.logs(spark, sf_dir), path)
+    found = logstore.search_store(
+        spark, path, "2024-01-05 00:00:00", "2024-01-20 12:00:00", log_type="error", message="error[42"
+    )
+    return found.select("seq", "log_time", "log_type", "message")
+
+
 @query(f"""WITH {i.ENVELOPES}
 SELECT log_type, "searchTime", "logCount", "is_VALID", "invalid_MSG",
        "logCount" = listed AS valid

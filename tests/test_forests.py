@@ -9,6 +9,7 @@ from logmetrics.operators import forest as rf
 from logmetrics.operators import iforest as ifo
 from logmetrics.operators import trees as tr
 from logmetrics.operators import treescore
+from logmetrics.operators.trees import insertion_scores
 
 
 @pytest.fixture(scope="module")
@@ -214,11 +215,32 @@ def test_stored_forest_scores_new_points(cloud, monkeypatch, tmp_path):
     assert nodes.groupBy("tree").agg(F.max("n").alias("n")).filter("n = 64").count() == 8
     one = {r["id"]: r["score"] for r in rf.rcf_score_against(cloud, nodes).collect()}
     assert max(one, key=one.get) == 7
-    monkeypatch.setattr(treescore, "BROADCAST_BYTES", 20_000)  # several passes
+    monkeypatch.setattr(treescore, "BROADCAST_BYTES", 20_000)  # trees and points meet in blocks
     packed = rf.rcf_pack(nodes)
-    assert len(packed.groups) > 1
-    many = {r["id"]: r["score"] for r in rf.rcf_score_against(cloud, packed).collect()}
-    assert all(many[k] == pytest.approx(v) for k, v in one.items())
+    assert packed.held is None and packed.groups > 1
+    blocked = treescore.fold_trees(
+        cloud.withColumn("score", F.lit("old")), packed, features="features", name="score",
+        score=insertion_scores, point_rows=37,
+    )
+    many = {r["id"]: r["score"] for r in blocked.collect()}
+    assert many.keys() == one.keys() and all(many[k] == pytest.approx(v) for k, v in one.items())
+
+
+def test_a_fit_runs_once_when_its_trees_are_packed(cloud):
+    grown = cloud.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            grown.add(batch.num_rows)
+            yield batch
+
+    fit = rf.rcf_fit(cloud, "id", num_trees=5, tree_size=32)
+    nodes = fit.mapInArrow(count, fit.schema)
+    packed = rf.rcf_pack(nodes)
+    total = grown.value
+    assert packed.count == 5 and total > 5 * 32
+    assert rf.rcf_score_against(cloud, packed).count() == rf.rcf_score_against(cloud, packed).count()
+    assert grown.value == total
 
 
 def test_vectors_must_be_whole(spark):
