@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logmetrics.session import materialize
+from logmetrics.session import materialize, release, sized_broadcast
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,7 @@ def inject_events(
             raise KeyError(f"no row at the start of {interval.event}: {interval.start}")
         base = original[interval.start]
         for earlier, text in texts:
-            if earlier.start <= interval.start <= earlier.end:
+            if earlier.end is not None and earlier.start <= interval.start <= earlier.end:
                 base = text
         suffix = interval.event if interval.suffix is None else interval.suffix
         texts.append((interval, None if base is None else f"{base} {suffix}"))
@@ -134,11 +136,123 @@ def inject_events(
             F.struct(F.lit(text).cast("string").alias("text")),
         )
         for interval, text in reversed(texts)
+        if interval.end is not None
     ]
     kept = F.struct(F.col(message).cast("string").alias("text"))
     return df.withColumn(message, F.coalesce(*choices, kept)["text"])
 
 
+def _micros(column: str) -> Column:
+    """Microseconds of a time without a zone, counted from a time before all others."""
+    days = F.datediff(F.col(column).cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint") + 1_000_000
+    clock = (F.hour(column) * 3600 + F.minute(column) * 60).cast("bigint") * 1_000_000
+    second = (F.expr(f"extract(SECOND FROM `{column}`)") * 1_000_000).cast("bigint")
+    return days * 86_400_000_000 + clock + second
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each interval (ord, s, e) as few aligned stretches: 2**level moments beginning at place * 2**level."""
+    for batch in batches:
+        number, low, high = (batch.column(k).to_numpy(zero_copy_only=False).copy() for k in range(3))
+        out: list[tuple[np.ndarray, int, np.ndarray]] = []
+        for level in range(63):
+            left = (low <= high) & (low & 1 == 1)
+            out.append((number[left], level, low[left]))
+            low[left] += 1
+            right = (low <= high) & (high & 1 == 0)
+            out.append((number[right], level, high[right]))
+            high[right] -= 1
+            going = low <= high
+            number, low, high = number[going], low[going] >> 1, high[going] >> 1
+            if not len(number):
+                break
+        levels = np.concatenate([np.full(len(n), level, np.int32) for n, level, _ in out])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([n for n, *_ in out])), pa.array(levels), pa.array(np.concatenate([p for *_, p in out]))],
+            ["ord", "level", "place"],
+        )
+
+
+def inject_events_of_table(
+    df: DataFrame,
+    intervals: DataFrame,
+    *,
+    ts: str = "time",
+    message: str = "message",
+) -> DataFrame:
+    """:func:`inject_events` with a table (ord, event, start, end, suffix) of any size; ``ord`` is unique.
+
+    Every interval falls into a few aligned stretches of time per length; a
+    moment lies in one stretch of each length. So the last interval that covers
+    a row is the largest ``ord`` among the stretches above its time, kept once
+    per stretch, and the one that an interval's own start lies in is found the
+    same way among smaller ordinals. Texts follow from chains of such starts,
+    whose links double in length each round. Intervals never come to the driver
+    and no interval meets all rows inside it.
+
+    Times of ``df`` must be unique; a start without a row is an error; an
+    interval without an end, or one that ends before it starts, covers nothing;
+    a missing suffix is the event's name.
+    """
+    table = intervals.select(
+        F.col("ord").cast("bigint").alias("ord"),
+        F.col("start").cast("timestamp_ntz").alias("start"),
+        F.col("end").cast("timestamp_ntz").alias("end"),
+        F.coalesce("suffix", "event").alias("suffix"),
+    )
+    rows = df.select(_at(ts).alias("_t"), F.col(message).cast("string").alias("base"))
+    begun = materialize(table.join(rows, F.col("start") == F.col("_t"), "left"), "starts")
+    lost = begun.where("_t IS NULL").select("ord", F.col("start").cast("string").alias("start")).orderBy("ord").first()
+    if lost is not None:
+        raise KeyError(f"no row at the start of interval {lost['ord']}: {lost['start']}")
+    spans = begun.where("start <= end").select("ord", _micros("start").alias("s"), _micros("end").alias("e"))
+    stretches = materialize(spans.mapInArrow(_aligned, "ord bigint, level int, place bigint"), "stretches")
+    levels = sorted(r["level"] for r in stretches.select("level").distinct().collect())  # 63 at most
+
+    def above(times: DataFrame) -> DataFrame:
+        """Every time with the stretches it lies in."""
+        each = times.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+        return each.withColumn("place", F.expr("shiftright(at, level)"))
+
+    # The nearest smaller ordinal among the stretches above each start.
+    asked = above(begun.select("ord", _micros("start").alias("at")))
+    held = stretches.select("level", "place").distinct()
+    asked = asked.join(held, ["level", "place"], "left_semi").select("level", "place", "ord", F.lit(1).alias("kind"))
+    sorted_ = Window.partitionBy("level", "place").orderBy("ord", F.col("kind").desc())
+    before = F.last(F.when(F.col("kind") == 0, F.col("ord")), ignorenulls=True).over(sorted_)
+    both = stretches.select("level", "place", "ord", F.lit(0).alias("kind")).unionByName(asked)
+    parents = both.withColumn("up", before).where("kind = 1").groupBy("ord").agg(F.max("up").alias("up"))
+    chain = begun.join(parents, "ord", "left").select(
+        "ord", "up", F.when(F.col("up").isNull(), F.col("base")).alias("base"), F.concat(F.lit(" "), "suffix").alias("tail")
+    )
+    chain = materialize(chain, "chain")
+    while not chain.where("up IS NOT NULL").isEmpty():
+        upper = chain.select(
+            F.col("ord").alias("_o"), F.col("up").alias("_up"), F.col("base").alias("_base"), F.col("tail").alias("_tail")
+        )
+        linked = chain.join(upper, F.col("up") == F.col("_o"), "left")
+        root = F.col("up").isNull()
+        longer = materialize(
+            linked.select(
+                "ord",
+                F.when(~root, F.col("_up")).alias("up"),
+                F.when(root, F.col("base")).otherwise(F.col("_base")).alias("base"),
+                F.when(root, F.col("tail")).otherwise(F.concat("_tail", "tail")).alias("tail"),
+            ),
+            "chain",
+        )
+        release(chain)
+        chain = longer
+    texts = chain.select("ord", F.concat("base", "tail").alias("_text"))
+    tops = stretches.groupBy("level", "place").agg(F.max("ord").alias("ord"))
+    times = above(rows.select("_t", _micros("_t").alias("at")))
+    last = times.join(sized_broadcast(tops), ["level", "place"]).groupBy("_t").agg(F.max("ord").alias("ord"))
+    new = last.join(sized_broadcast(materialize(texts, "texts")), "ord").select("_t", "_text", F.lit(True).alias("_hit"))
+    changed = F.when(F.col("_hit"), F.col("_text")).otherwise(F.col(message).cast("string"))
+    out = df.join(new, _at(ts) == F.col("_t"), "left").withColumn(message, changed)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def attach_scores(rows: DataFrame, scores: DataFrame, key: str) -> DataFrame:
     """Scores put back on the source rows; rows without a score keep null."""
     return rows.join(scores, key, "left")

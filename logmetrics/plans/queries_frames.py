@@ -13,6 +13,7 @@ from logmetrics.operators.features import vector_sum
 from logmetrics.operators.windows import shingle
 from logmetrics.plans import inputs as i
 from logmetrics.plans.catalog import query
+from logmetrics.session import materialize
 
 # --- messages ---------------------------------------------------------------
 
@@ -127,7 +128,7 @@ def label_intervals_of_table(spark, sf_dir):
 INJECT_STARTS = ["2024-01-05 00:00:00", "2024-01-12 00:00:00", "2024-01-12 12:00:00"]
 
 
-@query(f"""WITH {i.MINUTES},
+INJECTED = f"""WITH {i.MINUTES},
 starts AS (
   SELECT min(time) FILTER (WHERE time >= TIMESTAMP '{INJECT_STARTS[0]}') AS s1,
          min(time) FILTER (WHERE time >= TIMESTAMP '{INJECT_STARTS[1]}') AS s2,
@@ -145,7 +146,10 @@ SELECT time,
        WHEN time BETWEEN s2 AND s2 + INTERVAL 1 DAY THEN t2
        WHEN time BETWEEN s1 AND s1 + INTERVAL 1 DAY THEN t1
        ELSE message END AS message
-FROM minutes, base""")
+FROM minutes, base"""
+
+
+@query(INJECTED)
 def inject_events(spark, sf_dir):
     from datetime import datetime, timedelta
 
@@ -162,6 +166,21 @@ def inject_events(spark, sf_dir):
     return iv.inject_events(frame, faults)
 
 
+@query(INJECTED)
+def inject_events_of_table(spark, sf_dir):
+    """The same three overlapping faults as a table made of the frame's own times."""
+    frame = materialize(lg.last_per_key(i.minute_logs(spark, sf_dir)).select("time", "message"), "frame")
+    starts = [
+        frame.where(F.col("time") >= F.lit(start).cast("timestamp_ntz")).agg(
+            F.lit(number).alias("ord"), F.lit(event).alias("event"), F.min("time").alias("start")
+        )
+        for number, (event, start) in enumerate(zip(("warning", "error", "critical"), INJECT_STARTS, strict=True))
+    ]
+    faults = starts[0].unionByName(starts[1]).unionByName(starts[2]).where("start IS NOT NULL")
+    faults = faults.withColumns({"end": F.expr("start + INTERVAL 1 DAY"), "suffix": F.lit(None).cast("string")})
+    return iv.inject_events_of_table(frame, faults)
+
+
 @query("""SELECT event_type, event_id, value, CASE WHEN rn >= 48 THEN round(total, 6) END AS score
 FROM (SELECT event_type, event_id, value,
         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn,

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,41 @@ def test_inject_needs_a_row_at_the_start(spark):
         iv.inject_events(messages(spark), [iv.Interval("error", at(20), at(30))])
 
 
+FAULTS = "ord long, event string, start timestamp_ntz, `end` timestamp_ntz, suffix string"
+
+
+def as_table(spark, faults):
+    rows = [(k, f.event, f.start, f.end, f.suffix) for k, f in enumerate(faults)]
+    return spark.createDataFrame(rows, FAULTS).repartition(3)
+
+
+def test_inject_from_a_table_is_the_list_form(spark):
+    draw = np.random.default_rng(8)
+    frame = spark.createDataFrame(
+        [(at(k), None if k % 17 == 3 else f"m{k}", k) for k in range(120)], "time timestamp_ntz, message string, seq long"
+    )
+    faults = []
+    for k in range(80):
+        start, length = int(draw.integers(0, 120)), int(draw.integers(0, 60 if k % 5 == 0 else 6))
+        suffix = "own text" if k % 3 == 0 else None
+        faults.append(iv.Interval(f"e{k}", at(start), at(start + length), suffix))
+    faults += [iv.Interval("never", at(5), at(4)), iv.Interval("open", at(6), None), iv.Interval("all", at(0), at(500))]
+    faults += [iv.Interval("last", at(9), at(9)), iv.Interval("last again", at(9), at(9))]
+    for some in (faults, faults[:20], faults[-2:], []):
+        want = {r["seq"]: r["message"] for r in iv.inject_events(frame, some).collect()} if some else {}
+        out = iv.inject_events_of_table(frame, as_table(spark, some))
+        got = {r["seq"]: r["message"] for r in out.collect()}
+        assert out.columns == frame.columns and len(got) == 120
+        assert got == (want or {r["seq"]: r["message"] for r in frame.collect()})
+
+
+def test_inject_from_a_table_needs_a_row_at_the_start(spark):
+    with pytest.raises(KeyError, match="interval 1"):
+        iv.inject_events_of_table(
+            messages(spark), as_table(spark, [iv.Interval("a", at(1), at(2)), iv.Interval("b", at(20), at(30))])
+        )
+
+
 def test_attach_scores_keeps_rows(spark):
     a = spark.createDataFrame([(1,), (2,)], "k int")
     b = spark.createDataFrame([(2, 0.5)], "k int, s double")
