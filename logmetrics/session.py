@@ -53,10 +53,12 @@ def sized_broadcast(table: DataFrame, limit: int = 64 * 1024 * 1024) -> DataFram
     parts = []
     for field in table.schema.fields:
         column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             parts.append(F.coalesce(F.octet_length(column), F.lit(0)))
-        elif isinstance(field.dataType, T.ArrayType):
+        elif isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
             parts.append(F.greatest(F.size(column), F.lit(0)) * 8)
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) * 2)
     row = sum(parts, F.lit(8 * len(table.columns) + 32)).cast("long")
     measured = table.agg(F.sum(row).alias("bytes")).first()["bytes"] or 0
     return F.broadcast(table) if measured <= limit else table
