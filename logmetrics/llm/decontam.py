@@ -7,8 +7,10 @@ hashed words of whole texts, looks every window up in the set, compares the
 words of each hit with the item's, and marks the words inside.
 
 The set is broadcast only up to ``limit`` bytes of benchmark text, measured
-first. A larger benchmark is cut into parts below the limit that scan the
-documents one after the other, each adding its hits; documents never move.
+first, repeats once. Of a larger benchmark long items are cut into runs that
+overlap by a window, runs are dealt into parts that each measure below the
+limit, and the parts scan the documents one after the other, each adding its
+hits; documents never move.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from logmetrics.llm.words import ALNUM_WORDS, covered, cut, grams, slices, text_
 from logmetrics.session import materialize
 
 ADDED = ("n_words", "hit_spans", "hit_items")
+#: New windows in a run of a long item.
+RUN = 4096
 _SPAN = pa.struct([("begin", pa.int32()), ("end", pa.int32())])
 _NORMAL = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -120,6 +124,35 @@ def _scan(items, window: int, text_at: int):
     return scan
 
 
+def item_runs(items: DataFrame, window: int, run: int) -> DataFrame:
+    """(item, text) rows with the same windows, none of much more than ``run`` words."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    n = F.size("words")
+    cuts = F.transform(
+        F.sequence(F.lit(0), F.expr(f"(size(words) - {window}) div {run}")),
+        lambda k: F.array_join(F.slice("words", (k * run + 1).cast("int"), run + window - 1), " "),
+    )
+    runs = F.when(n < run + window, F.array("text")).otherwise(cuts)
+    return items.withColumn("words", words).select("item", F.explode(runs).alias("text")).distinct()
+
+
+def _dealt(items: DataFrame, window: int, limit: int) -> list[DataFrame]:
+    """Items in parts that each measure at most ``limit`` bytes, but for single runs of longer words."""
+    bytes_ = F.sum(F.octet_length("text") + F.octet_length("item") + 64).alias("bytes")
+    items = materialize(items.distinct(), "items")
+    size = items.agg(bytes_).first()["bytes"] or 0
+    if size <= limit:
+        return [items]
+    items = materialize(item_runs(items, window, RUN), "runs")
+    rows, parts = items.count(), -(-size // limit)
+    while True:
+        parts *= 2
+        part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+        most = items.groupBy(part.alias("part")).agg(bytes_, F.count(F.lit(1)).alias("n"))
+        if most.where((F.col("bytes") > limit) & (F.col("n") > 1)).isEmpty() or parts > 64 * rows:
+            return [items.where(part == k) for k in range(parts)]
+
+
 def find_contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -138,10 +171,7 @@ def find_contamination(
     """
     items = items.select(col(item_id).cast("string").alias("item"), F.coalesce(col(item_text), F.lit("")).alias("text"))
     items = items.where(F.col("item").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64).alias("bytes")).first()["bytes"] or 0
-    parts = max(1, -(-size // limit))
-    if parts > 1:  # twice as many parts, as hashes deal unevenly
-        parts *= 2
+    parts = _dealt(items, window, limit)
     docs = without(docs, *ADDED)
     schema = T.StructType(
         [*docs.schema.fields]
@@ -150,11 +180,10 @@ def find_contamination(
         + [T.StructField("hit_items", T.ArrayType(T.StringType()))]
     )
     text_at = docs.columns.index(text_col)
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
+    for own in parts:
         held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.collect()])
         docs = docs.mapInArrow(_scan(held, window, text_at), schema)
-        if parts > 1:
+        if len(parts) > 1:
             docs = materialize(docs, "decontamination")
     return docs
 

@@ -20,7 +20,7 @@ from logmetrics.llm.sharding import shuffle_shards, text_bytes
 from logmetrics.llm.substring import dedup_substrings
 from logmetrics.llm.toxicity import held_out, score_toxicity, train_toxicity
 from logmetrics.llm.warc import convert_arc, read_warc, write_arc
-from logmetrics.session import materialize
+from logmetrics.session import materialize, sized_broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -205,9 +205,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through legacy archives to WARC records, read back."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     records = materialize(read_warc(spark, convert_arc(spark, write_arc(pages))), "records")
-    first = records.where("record_type = 'response'")
-    first = first.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
-    out = records.join(first, "refers_to", "left")
+    revisits, responses = records.where("refers_to IS NOT NULL"), records.where("refers_to IS NULL")
+    # Only records that are referred to are looked up, one row each whatever the number of their copies.
+    first = responses.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"))
+    first = materialize(first.join(revisits.select("refers_to").distinct(), "refers_to", "left_semi"), "first")
+    known = revisits.join(sized_broadcast(first), "refers_to", "left")
+    out = known.unionByName(responses.withColumn("first_page", F.lit(None).cast("bigint")))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("first_page").alias("refers_to"))
 
 

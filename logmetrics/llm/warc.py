@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logmetrics.llm.frames import col
-from logmetrics.session import materialize, scratch_path
+from logmetrics.session import materialize, scratch_path, sized_broadcast
 
 #: Fixed values of the formats.
 ARC_FIELDS = {
@@ -82,7 +82,10 @@ def write_arc(
     """Write ``pages`` as archives of about ``archive_bytes`` each, of either version; returns the folder.
 
     A null page is an empty payload, a null url is '-', blanks in urls are
-    percent-encoded, a page without an id has none in the archive.
+    percent-encoded, a page without an id has none in the archive, repeated rows
+    are a record each, an empty table gives archives without records; other
+    columns are not written. Archives are closed by the mean size of a page, so
+    where long pages stand together one is larger.
     """
     path = path or scratch_path(pages.sparkSession, "arc")
     mean = pages.agg(F.avg(F.coalesce(F.octet_length(col(html_col)), F.lit(0)) + 400).alias("m")).first()["m"] or 400.0
@@ -117,7 +120,7 @@ def write_arc(
     return path
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
 
 
@@ -201,21 +204,27 @@ def warc_record(path: str, place: int, fields: dict[str, str], block: bytes, fir
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body
 
 
-def convert_arc(spark: SparkSession, source: str, path: str | None = None, least: int = 0) -> str:
+def convert_arc(
+    spark: SparkSession, source: str, path: str | None = None, least: int = 0, limit: int = 64 << 20
+) -> str:
     """Convert all archives below ``source`` to WARC files; returns their folder.
 
     Of records with equal payloads of at least ``least`` bytes, the one with the
     largest page id is the response (none is lowest; of equal ids the later
-    place); the others revisit it. Shorter payloads are all responses.
+    place); the others revisit it. Shorter payloads are all responses. Archives
+    without records give empty files. A damaged or cut-off archive is an error
+    that names the place, and nothing is read from it in part.
     """
     path = path or scratch_path(spark, "warc")
     places = materialize(files(spark, source).mapInArrow(_places, "path string, place bigint, page bigint, digest string, size bigint"), "places")
     best = places.where(F.col("size") >= least).groupBy("digest").agg(F.max(F.struct("page", "path", "place")).alias("best"), F.count("*").alias("n"))
-    again = places.where(F.col("size") >= least).join(best.where("n > 1"), "digest")
+    best = sized_broadcast(materialize(best.where("n > 1"), "best"))
+    again = places.where(F.col("size") >= least).join(best, "digest")
     again = again.where((F.col("path") != F.col("best.path")) | (F.col("place") != F.col("best.place")))
     again = again.groupBy("path").agg(
         F.collect_list(F.struct("place", F.col("best.path").alias("to"), F.col("best.place").alias("at"))).alias("again")
     )
+    again = materialize(again, "again")
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +240,21 @@ def convert_arc(spark: SparkSession, source: str, path: str | None = None, least
                         out, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    records = files(spark, source).join(again, "path", "left").mapInArrow(convert, "value binary")
-    records = records.select(F.col("value").cast("string").alias("value"))
-    records.write.options(lineSep=WARC_END, compression="gzip").text(path)
+    # Contents stay in the task that reads them: what is said about an archive comes to it.
+    # Beyond ``limit`` bytes of that, archives are converted in several passes, each over its own files.
+    said = again.agg(F.sum(F.size("again") * 64 + F.octet_length("path")).alias("bytes")).first()["bytes"] or 0
+    rounds = -(-2 * said // limit) if said > limit else 1
+    for k in range(rounds):
+        content, own = files(spark, source), again
+        if rounds > 1:
+            mine = F.pmod(F.xxhash64("path"), F.lit(rounds)) == k
+            paths = [r["path"] for r in places.where(mine).select("path").distinct().collect()]
+            if not paths:
+                continue
+            content, own = files(spark, paths), again.where(mine)
+        records = content.join(F.broadcast(own), "path", "left").mapInArrow(convert, "value binary")
+        records = records.select(F.col("value").cast("string").alias("value"))
+        records.write.mode("append").options(lineSep=WARC_END, compression="gzip").text(path)
     return path
 
 

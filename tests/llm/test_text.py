@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logmetrics.llm import blocks as B
-from logmetrics.llm import neardup
+from logmetrics.llm import decontam, neardup
 from logmetrics.llm.decontam import contamination, decontaminate, find_contamination, remove_spans
 from logmetrics.llm.neardup import components, drop_near_duplicates, near_duplicates, similarities
 from logmetrics.llm.substring import dedup_substrings
@@ -137,7 +137,7 @@ def brute_contamination(text, items, window=13):
     return len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_contamination_against_brute_force(spark):
+def test_contamination_against_brute_force(spark, monkeypatch):
     q = some_words(8, 30)
     items = [(1, " ".join(q)), (2, "Only Three words"), (3, None), (4, " .. "), (None, "lost item"), (10, " ".join(q[:20]))]
     items += [(1, " ".join(q)), (5, "Ähre über 9")]
@@ -157,6 +157,14 @@ def test_contamination_against_brute_force(spark):
             got = (r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"])
             assert got == brute_contamination(texts[r["doc_id"]], items), r
             assert r["n_items"] == len(r["hit_items"])
+    again = bench.unionAll(bench).unionAll(bench)  # repeated items, cut into runs of three windows
+    monkeypatch.setattr(decontam, "RUN", 3)
+    runs = decontam.item_runs(bench.selectExpr("cast(item_id as string) as item", "coalesce(text, '') as text"), 13, 3)
+    assert runs.where("size(split(text, ' ')) > 15").count() == 0 and runs.count() > 10
+    out = contamination(find_contamination(docs, again, limit=600)).collect()
+    for r in out:
+        got = (r["n_words"], r["n_hit"], r["hit_items"], r["contaminated"])
+        assert got == brute_contamination(texts[r["doc_id"]], items), r
     kept = {r["doc_id"] for r in decontaminate(docs, bench).collect()}
     assert kept == {k for k, t in enumerate(texts) if not brute_contamination(t, items)[3]}
     cleaned = {r["doc_id"]: r["text"] for r in remove_spans(find_contamination(docs, bench)).collect()}
