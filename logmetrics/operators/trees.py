@@ -44,38 +44,62 @@ class Tree:
 
 
 def _grow(points, weights, choose, max_depth=None):
-    """Split ``points`` top down; ``choose(block)`` gives (dim, cut) or None."""
-    parent, left, right, dim, cut, n = [], [], [], [], [], []
-    leaf_of = np.empty(len(points), dtype=np.int32)
-    todo = [(np.arange(len(points)), -1, 0, 0)]
-    while todo:
-        members, above, side, depth = todo.pop()
-        node = len(parent)
-        parent.append(above)
-        left.append(-1)
-        right.append(-1)
-        n.append(int(weights[members].sum()))
-        if above >= 0:
-            (left if side == 0 else right)[above] = node
-        split = None
-        if len(members) > 1 and (max_depth is None or depth < max_depth):
-            split = choose(points[members])
-        if split is None:
-            dim.append(-1)
-            cut.append(0.0)
-            leaf_of[members] = node
-            continue
-        dim.append(split[0])
-        cut.append(split[1])
-        low = points[members, split[0]] <= split[1]
-        todo.append((members[~low], node, 1, depth + 1))
-        todo.append((members[low], node, 0, depth + 1))
-    tree = Tree(
-        *[np.asarray(a, dtype=np.int32) for a in (parent, left, right, dim)],
-        np.asarray(cut, dtype=np.float64),
-        np.asarray(n, dtype=np.int64),
-    )
-    return tree, leaf_of
+    """Split ``points`` level by level.
+
+    All nodes of a level are split in one step: their points lie side by side,
+    ranges are segmented minima and maxima, and ``choose(low, high)`` gives the
+    dimension and cut of every node at once (dimension -1: no split). Nodes are
+    numbered by level, in order, the low side first.
+    """
+    size = len(points)
+    parent, left, right, dim, cut, n = (np.empty(2 * size, t) for t in "iiiidq")
+    leaf_of = np.empty(size, dtype=np.int32)
+    order, starts = np.arange(size), np.zeros(min(size, 1), dtype=np.int64)
+    nodes, parent[0], made, depth = np.zeros(min(size, 1), dtype=np.int32), -1, min(size, 1), 0
+    while len(nodes):
+        ends = np.append(starts[1:], len(order))
+        n[nodes] = np.add.reduceat(weights[order], starts)
+        held = points[order]
+        dims = np.full(len(nodes), -1, dtype=np.int32)
+        wide = np.flatnonzero(ends - starts > 1)
+        if len(wide) and (max_depth is None or depth < max_depth):
+            low, high = (f.reduceat(held, starts, axis=0)[wide] for f in (np.minimum, np.maximum))
+            dims[wide], cuts = choose(low, high)
+        else:
+            cuts = np.zeros(len(wide))
+        all_cuts = np.zeros(len(nodes))
+        all_cuts[wide] = cuts
+        split = dims >= 0
+        dim[nodes], cut[nodes] = dims, np.where(split, all_cuts, 0.0)
+        left[nodes] = right[nodes] = -1
+        segment = np.repeat(np.arange(len(nodes)), ends - starts)
+        stay = ~split[segment]
+        leaf_of[order[stay]] = nodes[segment[stay]]
+        order, segment, held = order[~stay], segment[~stay], held[~stay]
+        side = held[np.arange(len(order)), dims[segment]] > all_cuts[segment]
+        place = np.cumsum(split) - 1  # of the split nodes among themselves
+        child = 2 * place[segment] + side
+        order = order[np.argsort(child, kind="stable")]
+        above = nodes[split]
+        nodes = made + np.arange(2 * len(above), dtype=np.int32)
+        left[above], right[above] = nodes[::2], nodes[1::2]
+        parent[nodes] = np.repeat(above, 2)
+        counts = np.bincount(child, minlength=len(nodes))
+        starts = np.cumsum(counts) - counts
+        made += len(nodes)
+        depth += 1
+    arrays = [a[:made].copy() for a in (parent, left, right, dim, cut, n)]
+    return Tree(*arrays), leaf_of
+
+
+def _levels(tree: Tree):
+    """(split nodes, their low children, their high children) of each level, from the root."""
+    nodes = np.zeros(min(len(tree.n), 1), dtype=np.int64)
+    while len(nodes):
+        nodes = nodes[tree.left[nodes] >= 0]
+        if len(nodes):
+            yield nodes, tree.left[nodes], tree.right[nodes]
+        nodes = np.concatenate([tree.left[nodes], tree.right[nodes]])
 
 
 def cut_tree(points: np.ndarray, rng: np.random.Generator) -> Tree:
@@ -83,17 +107,18 @@ def cut_tree(points: np.ndarray, rng: np.random.Generator) -> Tree:
     draws independent of the order in which rows arrive."""
     distinct, inverse, counts = np.unique(points, axis=0, return_inverse=True, return_counts=True)
 
-    def choose(block):
-        low, high = block.min(axis=0), block.max(axis=0)
-        edges = np.cumsum(high - low)
-        draw = rng.random() * edges[-1]
-        dim = min(int(np.searchsorted(edges, draw, side="right")), len(edges) - 1)
-        before = edges[dim - 1] if dim else 0.0
-        cut = low[dim] + (draw - before)
-        if not low[dim] <= cut < high[dim]:  # rounding at the ends of the range
-            dim = int(np.argmax(high - low))
-            cut = low[dim]
-        return dim, float(cut)
+    def choose(low, high):
+        every = np.arange(len(low))
+        edges = np.cumsum(high - low, axis=1)
+        draw = rng.random(len(low)) * edges[:, -1]
+        dim = np.minimum((edges <= draw[:, None]).sum(axis=1), low.shape[1] - 1)
+        before = np.where(dim > 0, edges[every, dim - 1], 0.0)
+        cut = low[every, dim] + (draw - before)
+        # Rounding at the ends of the range.
+        out = ~((low[every, dim] <= cut) & (cut < high[every, dim]))
+        dim[out] = np.argmax(high[out] - low[out], axis=1)
+        cut[out] = low[out, dim[out]]
+        return dim, cut
 
     tree, leaf_of = _grow(distinct, counts, choose)
     tree.leaf = leaf_of[inverse.reshape(-1)]
@@ -107,10 +132,9 @@ def _best_ratio(tree: Tree, joined: int) -> np.ndarray:
     """Per node the largest sibling / own ratio on the way from the root, with
     ``joined`` extra points in the own branch."""
     best = np.zeros(len(tree.n))
-    for node in range(1, len(tree.n)):
-        above = tree.parent[node]
-        other = tree.right[above] if tree.left[above] == node else tree.left[above]
-        best[node] = max(best[above], tree.n[other] / (tree.n[node] + joined))
+    for above, low, high in _levels(tree):
+        best[low] = np.maximum(best[above], tree.n[high] / (tree.n[low] + joined))
+        best[high] = np.maximum(best[above], tree.n[low] / (tree.n[high] + joined))
     return best
 
 
@@ -150,25 +174,25 @@ def insertion_scores(tree: Tree, points: np.ndarray) -> np.ndarray:
 
 def _boxes(tree: Tree) -> tuple[np.ndarray, np.ndarray]:
     low, high = tree.points.copy(), tree.points.copy()
-    for node in range(len(tree.n) - 1, -1, -1):
-        if tree.left[node] >= 0:
-            a, b = tree.left[node], tree.right[node]
-            low[node] = np.minimum(low[a], low[b])
-            high[node] = np.maximum(high[a], high[b])
+    for above, a, b in reversed(list(_levels(tree))):
+        low[above] = np.minimum(low[a], low[b])
+        high[above] = np.maximum(high[a], high[b])
     return low, high
 
 
 def isolation_tree(points: np.ndarray, rng: np.random.Generator) -> Tree:
     """Isolation tree: a uniformly drawn non-constant dimension, a uniform cut,
     depth at most ceil(log2(sample))."""
-    def choose(block):
-        low, high = block.min(axis=0), block.max(axis=0)
-        varying = np.flatnonzero(high > low)
-        if not len(varying):
-            return None
-        dim = int(varying[rng.integers(len(varying))])
-        cut = low[dim] + rng.random() * (high[dim] - low[dim])
-        return dim, float(cut if cut < high[dim] else low[dim])
+
+    def choose(low, high):
+        every = np.arange(len(low))
+        varying = high > low
+        ranks = np.cumsum(varying, axis=1)
+        wanted = (rng.random(len(low)) * ranks[:, -1]).astype(np.int64) + 1
+        dim = np.where(ranks[:, -1] > 0, (ranks < wanted[:, None]).sum(axis=1), -1)
+        least, most = low[every, dim], high[every, dim]
+        cut = least + rng.random(len(low)) * (most - least)
+        return dim, np.where(cut < most, cut, least)
 
     depth = int(np.ceil(np.log2(max(len(points), 2))))
     tree, _ = _grow(points, np.ones(len(points), dtype=np.int64), choose, depth)
