@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logmetrics.functions.messages import Tokenizer, ngrams, tokenize_default
 from logmetrics.operators.positions import row_index
@@ -125,19 +131,31 @@ def to_feature_vector(
     )
     if docs is not None:
         entries = docs.select(doc).join(entries, doc, "left")
-    sparse = F.udf(_sparse, VectorUDT(), useArrow=True)
-    return entries.select(
-        doc,
-        sparse(width, F.col("_entries.term_id"), F.col(f"_entries.{weight}")).alias("features"),
+    rows = entries.select(
+        doc, width.cast("int").alias("_w"), F.col("_entries.term_id").alias("_p"), F.col(f"_entries.{weight}").alias("_v")
     )
+    schema = T.StructType([entries.schema[doc], T.StructField("features", VectorUDT())])
+    return rows.mapInArrow(_sparse, schema)
 
 
 def vocabulary_size(terms: DataFrame) -> Column:
     return terms.agg(F.count(F.lit(1)).cast("int").alias("w")).scalar()
 
 
-def _sparse(width, places, values):
-    return Vectors.sparse(int(width), [int(p) for p in places or []], [float(v) for v in values or []])
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse vectors as their stored form, from whole columns; a missing list has no entries."""
+    for batch in batches:
+        doc, width, places, values = batch.columns
+        n = len(places)
+        counts = pc.fill_null(pc.list_value_length(places), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(offsets, column.flatten().cast(kind))
+            for column, kind in ((places, pa.int32()), (values, pa.float64()))
+        ]
+        kind = pa.array(np.zeros(n, np.int8))  # fixed value: sparse
+        vectors = pa.StructArray.from_arrays([kind, width, *lists], ["type", "size", "indices", "values"])
+        yield pa.RecordBatch.from_arrays([doc, vectors], [batch.schema.names[0], "features"])
 
 
 def lemma_join(

@@ -282,6 +282,16 @@ def stream_last_per_key(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(f"WITH {i.MINUTES} SELECT time, message, log_type FROM minutes")
+def stream_all_keys(spark, sf_dir):
+    """All keys of the stream: those closed by the watermark and those still open at its end."""
+    frame = i.by_minute(build_log_frame(i.log_rows(_event_stream(spark, sf_dir))))
+    out, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    streams.append_to(streams.stream_last_per_key(frame), out, state).awaitTermination()
+    closed = spark.read.parquet(out)
+    return closed.unionByName(streams.open_keys(spark, state, frame.schema))
+
+
 @query(f"""WITH {i.LOGS}
 SELECT log_type, log_time AS time, {i.sql_clean('message')} AS message FROM logs""")
 def stream_cleaned_logs(spark, sf_dir):

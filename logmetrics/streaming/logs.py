@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from logmetrics.operators.forest import rcf_pack, rcf_score_against
 from logmetrics.operators.logs import build_log_frame, last_per_key
@@ -25,6 +26,26 @@ def stream_last_per_key(
     return last.withColumn(key, F.col(key).cast("timestamp_ntz"))
 
 
+def open_keys(
+    spark: SparkSession, checkpoint: str, columns: StructType, key: str = "time", seq: str = "seq"
+) -> DataFrame:
+    """Keys of a stopped :func:`stream_last_per_key` that its watermark still holds back.
+
+    Read from the query's stored state, one row per key with the values seen so
+    far, so that the end of the input loses nothing: these and the appended rows
+    are all keys, each once. ``columns`` is the schema of the stream before the
+    aggregate. Rows that came later than the watermark allows are in neither, as
+    the engine drops them.
+    """
+    kinds = [f for f in columns.fields if f.name not in (key, seq)]
+    state = spark.read.format("statestore").load(checkpoint)
+    # The state holds, for each column, its last value and the place of that value.
+    order = columns[seq].dataType.simpleString()
+    fields = ",".join(f"v{k}:{f.dataType.simpleString()},o{k}:{order}" for k, f in enumerate(kinds))
+    held = state.select(F.col(f"key.{key}").cast("timestamp_ntz").alias(key), F.col("value").cast(f"struct<{fields}>"))
+    return held.select(key, *[F.col(f"value.v{k}").alias(f.name) for k, f in enumerate(kinds)])
+
+
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Run what is available now and append it as parquet (exactly once)."""
     return (
