@@ -250,7 +250,53 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE steps AS (
+  SELECT i, i::UBIGINT AS v, 0 AS step FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END, step + 1 FROM steps WHERE step < 8),
+tab AS (SELECT list(v ORDER BY i) AS tab FROM steps WHERE step = 8),
+texts AS (
+  SELECT row_number() OVER () AS r, * FROM
+    (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark)),
+cut AS (
+  SELECT r, part, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (
+  SELECT r, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM cut, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+counted AS MATERIALIZED (SELECT r, g, count(*) AS n FROM grams GROUP BY r, g),
+features AS (SELECT g, hex(encode(g)) AS h FROM (SELECT DISTINCT g FROM counted)),
+hashed AS MATERIALIZED (
+  SELECT g, xor(list_reduce(
+      list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h)::BIGINT, 2), lambda k: ('0x' || substr(h, k::BIGINT, 2))::UBIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 10000 AS bucket
+  FROM features, tab),
+sums AS MATERIALIZED (
+  SELECT r, bucket, sum(n)::BIGINT AS n FROM counted JOIN hashed USING (g) GROUP BY r, bucket),
+sides AS (
+  SELECT bucket, coalesce(sum(n) FILTER (part = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (part = 1), 0)::DOUBLE AS t
+  FROM sums JOIN cut USING (r) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sides) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM sides) + 10000))))::BIGINT AS gain FROM sides),
+weights AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM sums JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+      + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM cut LEFT JOIN weights USING (r) WHERE part = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features, n_words) AS place
+  FROM scored)
+SELECT doc_id, n_features, weight, score, n_words,
+  CASE WHEN n_words >= 20 AND place <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
+)
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A twentieth of the documents drawn towards the benchmark's n-grams."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
