@@ -27,7 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query()
+@query(
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+firsts AS (SELECT g, min(doc_id) AS first FROM windows GROUP BY g),
+gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (g) WHERE first < doc_id),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT r, string_agg(x, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+counts AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (r) LEFT JOIN kept USING (r)
+"""
+)
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document after passages of earlier documents went."""
     out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
