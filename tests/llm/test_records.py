@@ -179,6 +179,27 @@ def test_pieces_are_the_librarys(codec, text):
     assert back[0] == codec.library.decode(want) == codec.decode(want)
 
 
+def test_rows_merge_like_the_agenda(codec):
+    draw = np.random.default_rng(6)
+    letters = list("▁abethionrs日é") + ["th", "▁the", "ing", "\U00010378"]
+    segments = ["".join(draw.choice(letters, int(draw.integers(1, 40)))).replace("\n", "") for _ in range(400)] + ["\n", "▁"]
+    found, spelled = codec.merge_all(segments)
+    assert [np.frombuffer(f, np.int32).tolist() for f in found] == [codec.merge(s) for s in segments]
+    assert {k for k, s in enumerate(segments) if "\U00010378" in s} <= set(spelled)
+
+
+def test_the_librarys_pieces_are_taken_where_ours_differ(codec, monkeypatch):
+    with open(default_model(), "rb") as file:
+        fresh = Codec(file.read())
+    wrong = fresh.merge_all
+    monkeypatch.setattr(fresh, "merge_all", lambda s: ([b"" if k % 3 else f for k, f in enumerate(wrong(s)[0])], []))
+    text = "some plain words\n here  and ther\U00010378e"
+    ids, back = fresh.encode([text])
+    want = fresh.library.encode(text, add_eos=True)
+    assert np.frombuffer(ids[0], np.int32).tolist() == want and back[0] == fresh.library.decode(want)
+    assert fresh.mismatches > 0 and codec.mismatches == 0
+
+
 def test_pieces_frame(spark):
     rows = list(enumerate([*PIECE_TEXTS, None, PIECE_TEXTS[2], "word " * 30_000]))
     docs = spark.createDataFrame(rows, DOCS).withColumn("Piece_ids", F.lit(0))
