@@ -523,10 +523,10 @@ def drop_near_duplicates(
     slim = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
     labelled = materialize(_labelled(slim, threshold, bands, band_rows), "labelled")
     kept = labelled.where("id = label").groupBy("id", "own").agg(F.min("digest").alias("_digest"))
-    kept = kept.select(F.col("id").alias("_id"), "_digest")
-    key = col(id_col).cast("bigint")
-    digest = F.unhex(F.md5(col(text_col)))
-    stay = docs.join(kept, (key == F.col("_id")) & (digest == F.col("_digest"))).dropDuplicates(["_id", "_digest"])
-    wordless = docs.join(labelled.select(F.col("id").alias("_id")).distinct(), key == F.col("_id"), "left_anti")
-    wordless = wordless.where(col(id_col).isNotNull()).dropDuplicates([id_col])
-    return stay.drop("_id", "_digest").unionByName(wordless).unionByName(docs.where(col(id_col).isNull()))
+    wordless = slim.select("id").where("id IS NOT NULL").distinct().join(labelled, "id", "left_anti")
+    wordless = wordless.withColumn("_digest", F.lit(None).cast("binary"))
+    kept = kept.select("id", "_digest").unionByName(wordless).withColumnRenamed("id", "_id")
+    # Texts move once; which rows stay is known by then.
+    same = F.col("_digest").isNull() | (F.unhex(F.md5(col(text_col))) == F.col("_digest"))
+    stay = docs.join(kept, col(id_col).cast("bigint") == F.col("_id")).where(same).dropDuplicates(["_id", "_digest"])
+    return stay.drop("_id", "_digest").unionByName(docs.where(col(id_col).isNull()))
