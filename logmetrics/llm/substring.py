@@ -1,4 +1,7 @@
-"""Removal of passages that an earlier document has: relative Lempel-Ziv parsing.
+"""Removal of passages that an earlier document has, by windows in a distributed index.
+
+This stands in for a relative Lempel-Ziv parsing: factors come from windows that
+are looked up by hash; reference blocks are not extended word by word.
 
 The reference of a document is every document with a smaller id. It is indexed
 as a book of phrases (windows of 13 words) that is cut into blocks by the
