@@ -82,3 +82,40 @@ def test_missing_values_take_no_part(spark, rows):
     net = d.classifier([3, 2])
     assert d.predict(holes, net, net.start(0)).where("prediction is null").count() == 100
     assert np.isnan(d.evaluate(blocks.limit(0), net, net.start(0))[0])
+
+
+def test_many_batches_step_side_by_side(spark, rows, tmp_path, monkeypatch):
+    """The jobs of an epoch do not grow with its batches, and a resumed run still ends in the same weights."""
+    monkeypatch.setattr(d, "ROUNDS", 3)
+    monkeypatch.setattr(d, "LANE", 2)
+    monkeypatch.setattr(d, "FAN_IN", 2)
+    net, options = d.forecaster(3, 8), {"key": "id", "label": "value", "batch_rows": 16, "block_rows": 8, "learning_rate": 0.02}
+
+    def fit(rows, place, epochs, on_epoch=None):
+        parts = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+        return d.fit_with_checkpoints(
+            *parts, net, run_id="r", store=f"{place}/models", ledger=f"{place}/ledger", max_epochs=epochs, on_epoch=on_epoch, **options
+        )
+
+    def stop(epoch, metrics):
+        if epoch == 2:
+            raise Stop
+
+    seen = []
+    whole = fit(rows, tmp_path / "a", 4, lambda epoch, metrics: seen.append(metrics["loss"]))
+    assert whole.steps == 4 * 3 * 2  # 15 batches in 8 lanes, all of them in each epoch
+    assert seen[-1] < seen[0] / 2
+    with pytest.raises(Stop):
+        fit(rows.repartition(5), tmp_path / "b", 4, stop)
+    resumed = fit(rows.repartition(2), tmp_path / "b", 4)
+    assert (resumed.weights == whole.weights).all() and (resumed.second == whole.second).all()
+
+    blocks, batches, _ = d.training_blocks(rows.where("id % 4 > 0"), "id", label="value", batch_rows=16, block_rows=8)
+    assert batches == 15
+    lane = blocks.where("lane = 1").orderBy("block").collect()
+    want, at = d.State.new(net, 0), {b: [r for r in lane if r["batch"] == b] for b in (2, 3)}
+    for batch in (2, 3):
+        x, y = (np.array([v for r in at[batch] for v in r[c]]) for c in "xy")
+        want.step(net.gradient(want.weights, x.reshape(-1, 3), y)[0] / 16, 0.02)
+    got, _, _, n = d.lane_steps(blocks.where("lane = 1"), 1, 4, net, d.State.new(net, 0), 0.02)
+    assert n == 32 and got.steps == 2 and got.weights == pytest.approx(want.weights)
