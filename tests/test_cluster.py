@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from logmetrics.operators import cluster as k
+from logmetrics.session import spread
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +39,12 @@ def test_assign_ties_go_to_the_lowest_id(spark):
     out = k.kmeans_assign(points, [(7, [1.0, 0.0]), (2, [-1.0, 0.0])])
     got = {r["id"]: (r["cluster_label"], r["distance"]) for r in out.collect()}
     assert got == {0: (2, 1.0), 1: (7, 4.0)}
+
+
+def test_points_are_spread_by_rows(spark, tmp_path):
+    """A task's share of a plain scan does not grow with the table."""
+    path = str(tmp_path / "points")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    assert spread(scan, "id", rows=50).rdd.getNumPartitions() == 20
+    assert spread(scan, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
