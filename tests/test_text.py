@@ -142,3 +142,22 @@ def test_log_clusters_labels_every_line(spark, docs, weighting):
     got = jobs.log_clusters(docs, weighting=weighting, lemmas=lemmas).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(9))
     assert {r["cluster_label"] for r in got} <= set(range(6))
+
+
+def test_terms_are_cut_in_pieces_of_bounded_text(spark, docs, monkeypatch):
+    want = sorted(tuple(r) for r in t.term_counts(docs).collect())
+    monkeypatch.setattr(t, "TEXT_BYTES", 4)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    cut = t.term_counts(docs)
+    assert sorted(tuple(r) for r in cut.collect()) == want
+    assert cut.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-total // 4))
+
+
+def test_stored_counts_are_merged_in_pieces_of_bounded_rows(spark, monkeypatch):
+    rows = [(d, w, 1) for d in (1, 2, None) for w in ("cats", "cat", "dog")]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long")
+    lemmas = F.broadcast(spark.createDataFrame([("cats", "cat")], "token string, lemma string"))
+    monkeypatch.setattr(jobs, "COUNT_ROWS", 1)
+    merged = jobs.lemma_counts(None, lemmas, counts=counts)
+    assert merged.rdd.getNumPartitions() == max(9, spark.sparkContext.defaultParallelism)
+    assert {tuple(r) for r in merged.collect()} == {(d, w, n) for d in (1, 2, None) for w, n in (("cat", 2), ("dog", 1))}
