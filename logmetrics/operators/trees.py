@@ -147,6 +147,7 @@ def insertion_scores(tree: Tree, points: np.ndarray) -> np.ndarray:
     """Expected collusive displacement of each row if inserted alone."""
     low, high = _boxes(tree)
     best = _best_ratio(tree, 1)
+    sizes = (high - low).sum(axis=1)
     scores = np.zeros(len(points))
     todo = [(0, np.arange(len(points)), np.ones(len(points)))]
     while todo:
@@ -154,19 +155,17 @@ def insertion_scores(tree: Tree, points: np.ndarray) -> np.ndarray:
         if not len(rows):
             continue
         here = points[rows]
-        growth = (
-            np.maximum(low[node] - here, 0).sum(axis=1)
-            + np.maximum(here - high[node], 0).sum(axis=1)
-        )
-        size = (high[node] - low[node]).sum()
-        grown = growth + size
+        side = here[:, tree.dim[node]] <= tree.cut[node]
+        # What lies outside of the box, in the gathered rows' own memory.
+        here -= np.clip(here, low[node], high[node])
+        growth = np.abs(here, out=here).sum(axis=1)
+        grown = growth + sizes[node]
         apart = np.divide(growth, grown, out=np.zeros_like(growth), where=grown > 0)
         scores[rows] += reach * apart * max(float(tree.n[node]), best[node])
         stays = reach * (1 - apart)
         if tree.left[node] < 0:
             scores[rows] += stays * best[node]
             continue
-        side = here[:, tree.dim[node]] <= tree.cut[node]
         todo.append((tree.left[node], rows[side], stays[side]))
         todo.append((tree.right[node], rows[~side], stays[~side]))
     return scores

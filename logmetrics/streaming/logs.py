@@ -13,6 +13,9 @@ from logmetrics.operators.text import embed_lookup
 from logmetrics.session import sized_broadcast
 from logmetrics.sources.logs import ENVELOPE, envelope_rows
 
+#: Messages that one task scores; a message is small in bytes but meets every tree.
+SCORE_ROWS = 10_000
+
 
 def stream_last_per_key(
     stream: DataFrame, key: str = "time", seq: str = "seq", delay: str = "1 hour"
@@ -83,7 +86,9 @@ def stream_log_scores(
 ) -> StreamingQuery:
     """Embed each micro-batch and score it against a stored forest.
 
-    A batch overwrites its own ``batch=N`` folder, so a batch that is run again
+    Vectors to score are dealt out by rows, as their bytes say nothing of the
+    work. A message has one vector and so one score, found once in a batch and
+    joined back by the message's hash. A batch overwrites its own ``batch=N`` folder, so a batch that is run again
     after a failure leaves no double rows.
     """
     packed = rcf_pack(forest)
@@ -91,10 +96,14 @@ def stream_log_scores(
 
     def score(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # read three times below
-        embedded = embed_lookup(batch, words, key=key, text=message).select(key, "features")
+        hashed = F.unhex(F.sha2(F.col(message), 256)).alias("_message")
+        texts = batch.select(hashed, message).dropDuplicates(["_message"])
+        embedded = embed_lookup(texts, words, key="_message", text=message).select("_message", "features")
+        cores = batch.sparkSession.sparkContext.defaultParallelism
         known = embedded.filter(F.col("features").isNotNull())
-        scores = rcf_score_against(known, packed).select(key, "score")
-        scored = batch.join(scores, key, "left")
+        known = known.repartition(max(cores, -(-batch.count() // SCORE_ROWS)))
+        scores = rcf_score_against(known, packed).select("_message", "score")
+        scored = batch.withColumn("_message", hashed).join(scores, "_message", "left").drop("_message")
         scored.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         batch.unpersist()
 

@@ -73,3 +73,26 @@ def test_stream_scores_new_files_once(spark, tmp_path, landed):
     both = run()
     assert set(both) == {f"{k}/{j}" for k in (1, 2) for j in range(3)}
     assert both["1/0"] == pytest.approx(first["1/0"]) == pytest.approx(both["2/0"])
+
+
+def test_scoring_is_dealt_out_by_rows_and_each_message_is_scored_once(spark, tmp_path, landed, monkeypatch):
+    folder, land = landed
+    vectors = spark.createDataFrame([("disk", [1.0, 0.0]), ("ok", [0.1, 0.1])], "token string, vector array<double>")
+    known = spark.createDataFrame([(k, "disk ok" if k else "ok") for k in range(30)], "k long, message string")
+    forest = rf.rcf_fit(embed_lookup(known, vectors, key="k"), "k", num_trees=3, tree_size=30)
+    seen = []
+
+    def score(points, packed):
+        seen.append((points.rdd.getNumPartitions(), points.count()))
+        return rf.rcf_score_against(points, packed)
+
+    monkeypatch.setattr(streams, "rcf_score_against", score)
+    monkeypatch.setattr(streams, "SCORE_ROWS", 1)
+    for k in range(4):
+        land(k)
+    stream = streams.stream_envelopes(spark, folder, multi_line=True)
+    keyed = stream.select(F.lit("same").alias("row_key"), "message")
+    out = str(tmp_path / "out")
+    streams.stream_log_scores(keyed, vectors, forest, out, str(tmp_path / "state"), key="row_key").awaitTermination()
+    assert seen == [(12, 2)]  # twelve messages, two texts with a known word
+    assert spark.read.parquet(out).count() == 12  # a repeated key repeats no row
