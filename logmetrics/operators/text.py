@@ -194,11 +194,11 @@ def embed_lookup(
     Each distinct text is embedded once and joined back by its hash, so no text
     is copied per word. De-duplication leaves the rows partitioned by that hash;
     with a broadcast word table (see ``session.sized_broadcast``) counting and
-    summing then need no further shuffle.
+    summing then need no further shuffle. The hash travels as its 32 bytes.
     """
     if combine not in ("sqrtn", "mean"):
         raise ValueError(combine)
-    hashed = df.select(key, text, F.sha2(text, 256).alias("_text"))
+    hashed = df.select(key, text, F.unhex(F.sha2(text, 256)).alias("_text"))
     exploded = (
         hashed.select("_text", text)
         .dropDuplicates(["_text"])

@@ -161,3 +161,13 @@ def test_stored_counts_are_merged_in_pieces_of_bounded_rows(spark, monkeypatch):
     merged = jobs.lemma_counts(None, lemmas, counts=counts)
     assert merged.rdd.getNumPartitions() == max(9, spark.sparkContext.defaultParallelism)
     assert {tuple(r) for r in merged.collect()} == {(d, w, n) for d in (1, 2, None) for w, n in (("cat", 2), ("dog", 1))}
+
+
+def test_a_text_is_known_by_the_bytes_of_its_hash(spark):
+    vectors = spark.createDataFrame([("disk", [1.0, 2.0])], "token string, vector array<double>")
+    rows = spark.createDataFrame([(1, "disk disk"), (2, "disk disk"), (3, None)], "doc_id long, message string")
+    found = t.embed_lookup(rows, vectors, combine="mean")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "unhex(sha2" in plan  # 32 bytes travel and not 64 letters
+    assert [(r["doc_id"], r["features"]) for r in found.orderBy("doc_id").collect()] == [
+        (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)]
