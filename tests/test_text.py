@@ -171,3 +171,11 @@ def test_a_text_is_known_by_the_bytes_of_its_hash(spark):
     assert "unhex(sha2" in plan  # 32 bytes travel and not 64 letters
     assert [(r["doc_id"], r["features"]) for r in found.orderBy("doc_id").collect()] == [
         (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None)]
+
+
+def test_entries_of_sparse_vectors_come_back(spark):
+    rows = spark.createDataFrame([(1, 4, 0.1), (1, 2, 1e-300), (None, 0, 3.0)], "doc_id long, term_id long, weight double")
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    vectors = t.to_feature_vector(rows, F.lit(9)).unionByName(t.to_feature_vector(rows, F.lit(9), docs=docs).where("doc_id = 2"))
+    got = [tuple(r) for r in t.vector_entries(vectors).orderBy("doc_id", "term_id").collect()]
+    assert got == [(None, 9, 0, 3.0), (1, 9, 2, 1e-300), (1, 9, 4, 0.1)]
