@@ -44,8 +44,24 @@ def stored_points(df: DataFrame, features: str = "features", key: str | None = N
     return spread(materialize(points.where(F.col("x").isNotNull()), "points"))
 
 
+def packed_points(points: DataFrame) -> DataFrame:
+    """:func:`stored_points` as blocks of ROWS points, two buffers each, so that a scan converts no number."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, h in _blocks(batches):
+            both = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (x, h)]
+            yield pa.RecordBatch.from_arrays(both, ["x", "h"])
+
+    return spread(materialize(points.mapInArrow(pack, "x binary, h binary"), "blocks"))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
+        if batch.num_rows and pa.types.is_binary(batch.schema.field("x").type):
+            for x, h in zip(batch.column("x"), batch.column("h"), strict=True):
+                hashes = np.frombuffer(h.as_buffer(), np.int64)
+                yield np.frombuffer(x.as_buffer()).reshape(len(hashes), -1), hashes
+            continue
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             x = part.column("x")
@@ -116,11 +132,12 @@ def _sums(points: DataFrame, fits: dict[int, np.ndarray]) -> dict[int, tuple[np.
         n, cost, total = np.zeros(len(stack), np.int64), np.zeros(len(stack)), np.zeros(stack.shape)
         for x, _ in _blocks(batches):
             distance = squared_distances(x, stack)
-            member = np.zeros((len(x), len(stack)))
+            member, every = np.zeros((len(x), len(stack))), np.arange(len(x))
             for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                member[np.arange(len(x)), begin + distance[:, begin:end].argmin(axis=1)] = 1.0
-            n += member.sum(axis=0).astype(np.int64)
-            cost += (distance * member).sum(axis=0)
+                nearest = begin + distance[:, begin:end].argmin(axis=1)
+                member[every, nearest] = 1.0
+                n += np.bincount(nearest, minlength=len(stack))
+                cost += np.bincount(nearest, distance[every, nearest], len(stack))
             total += member.T @ x
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
@@ -167,6 +184,7 @@ def fit_all(
     points: DataFrame, ks: Sequence[int], starts: int = 10, seed: int = 0, max_iter: int = 300
 ) -> dict[int, Fit]:
     """The best of ``starts`` fits for each k, all in the same scans of :func:`stored_points`."""
+    points = packed_points(points)
     plan = [(k, seed + s) for k in ks for s in range(starts if k > 1 else 1)]
     fits = lloyd(points, seed_centres(points, [k for k, _ in plan], [s for _, s in plan]), max_iter)
     best: dict[int, Fit] = {}

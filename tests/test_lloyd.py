@@ -78,3 +78,14 @@ def test_assign_keeps_missing_vectors(spark):
     out = kmeans_assign(df.withColumn("distance", F.lit(9)), [(7, [1.0, 0.0]), (2, [-1.0, 0.0])])
     got = {r["id"]: (r["cluster_label"], r["distance"]) for r in out.collect()}
     assert got == {1: (7, 0.0), 2: (None, None), 3: (2, 1.0)}
+
+
+def test_packed_points_are_the_same_points(spark):
+    df = spark.createDataFrame([(k, [float(k), k / 3.0]) for k in range(50)], "id long, features array<double>")
+    plain = ll.stored_points(df, key="id")
+    packed = ll.packed_points(plain)
+    assert dict(packed.dtypes) == {"x": "binary", "h": "binary"}
+    a, b = (ll.seed_centres(p, [3], [1])[0] for p in (plain, packed))
+    assert a.tolist() == b.tolist()
+    one, two = (ll.lloyd(p, [a])[0] for p in (plain, packed))
+    assert abs(one.inertia - two.inertia) < 1e-9 and np.allclose(one.centres, two.centres)
