@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,12 +192,13 @@ def similarities(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def _check(threshold: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
-            ends = np.cumsum([0, *(len(x) + len(y) for x, y in zip(a, b, strict=True))])
-            for begin, end in slices(ends):
-                linked = similarities(a[begin:end], b[begin:end]) >= threshold
-                own = [batch.column(k).slice(begin, end - begin) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(linked)], ["node", "leader", "linked"])
+            # Only one slice's texts are Python objects at a time, however large the batch.
+            a, b = (pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            for begin, end in slices(np.concatenate([[0], np.cumsum(a + b)])):
+                part = batch.slice(begin, end - begin)
+                a, b = (part.column(k).cast(pa.binary()).to_pylist() for k in (2, 3))
+                linked = similarities(a, b) >= threshold
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(linked)], ["node", "leader", "linked"])
 
     return check
 

@@ -36,8 +36,8 @@ from logmetrics.llm.frames import without
 from logmetrics.llm.words import slices, text_buffers
 
 MARK = "▁"
-#: Segments a worker keeps (about 250 bytes each).
-KEPT = 1_000_000
+#: Segments a worker keeps (about 250 bytes each); workers outlive their stage, and so do these.
+KEPT = 300_000
 #: Bits of an agenda entry that hold a place.
 PLACE = 40
 MOST = (1 << PLACE) - 1

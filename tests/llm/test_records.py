@@ -1,6 +1,7 @@
 """Shards, vectors, conversations, pieces and archives: laws, brute force and round trips."""
 
 import hashlib
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from logmetrics.llm.ann import cosines, encode, estimates, search
 from logmetrics.llm.chat import FILTERS, TEMPLATE, format_conversations, read_conversations, read_turns
+from logmetrics.llm import pieces
 from logmetrics.llm.pieces import Codec, decode_pieces, default_model, encode_pieces
 from logmetrics.llm.sharding import shuffle_shards
 from logmetrics.llm.template import TemplateError, compile_template, fold, parse
@@ -258,3 +260,12 @@ def test_archives_of_nothing(spark):
 def test_checksums_are_unsigned(spark):
     frame = spark.createDataFrame([("é",)], "t string").select(F.crc32(F.col("t").cast("binary")).alias("c"))
     assert frame.first()["c"] == zlib.crc32("é".encode())
+
+
+def test_kept_segments_stay_small():
+    with open(default_model(), "rb") as file:
+        codec = Codec(file.read())
+    codec.encode([" ".join(f"seg{k}ment" for k in range(20_000))])
+    each = sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in codec.kept.items()) / len(codec.kept)
+    # A worker keeps them after its stage, beside the memory that later stages need.
+    assert pieces.KEPT * each < 80e6

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -285,3 +286,17 @@ def test_components_of_chains(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 90), (90, 95), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
     assert got == {k: 0 for k in range(21)} | {k: 90 for k in (90, 95, 100)}
+
+
+def test_checked_pairs_do_not_hold_a_whole_batch():
+    text = " ".join(some_words(5, 2_000, 100_000))
+    pairs = [(k, -k, text, text if k % 2 else text[: len(text) // 2]) for k in range(1, 1921)]
+    names = ["node", "leader", "text", "other"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pairs, strict=True)], names)
+    tracemalloc.start()
+    got = [r for out in neardup._check(0.8)(iter([batch])) for r in out.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [{"node": k, "leader": -k, "linked": k % 2 == 1} for k in range(1, 1921)]
+    assert most < 1.5 * batch.nbytes
+    assert list(neardup._check(0.8)(iter([batch.slice(0, 0)]))) == []
