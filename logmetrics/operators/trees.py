@@ -209,14 +209,21 @@ def mean_path(n: np.ndarray) -> np.ndarray:
 
 
 def isolation_depths(tree: Tree, points: np.ndarray) -> np.ndarray:
-    """Path length of each row: edges to its leaf plus c(leaf size)."""
+    """Path length of each row: edges to its leaf plus c(leaf size).
+
+    All rows go down together, level by level; a row at its leaf stays there.
+    """
+    leaf, own = tree.left < 0, np.arange(len(tree.n))
+    # The way right and left of each node; what is not at or below the cut, such as NaN, goes right.
+    ways = np.stack([np.where(leaf, own, tree.right), np.where(leaf, own, tree.left)], axis=1).reshape(-1)
+    dim, depth, levels = np.where(leaf, 0, tree.dim).astype(np.int64), np.zeros(len(own)), 0
+    for above, low, high in _levels(tree):
+        depth[low] = depth[high] = depth[above] + 1
+        levels += 1
     at = np.zeros(len(points), dtype=np.int64)
-    depth = np.zeros(len(points))
-    moving = np.flatnonzero(tree.left[at] >= 0)
-    while len(moving):
-        node = at[moving]
-        low = points[moving, tree.dim[node]] <= tree.cut[node]
-        at[moving] = np.where(low, tree.left[node], tree.right[node])
-        depth[moving] += 1
-        moving = moving[tree.left[at[moving]] >= 0]
-    return depth + mean_path(tree.n)[at]
+    if levels:
+        flat, begin = points.reshape(-1), np.arange(len(points)) * points.shape[1]
+        for _ in range(levels):
+            value = flat.take(begin + dim.take(at))
+            at = ways.take(2 * at + (value <= tree.cut.take(at)))
+    return (depth + mean_path(tree.n)).take(at)
