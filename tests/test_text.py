@@ -179,3 +179,31 @@ def test_entries_of_sparse_vectors_come_back(spark):
     vectors = t.to_feature_vector(rows, F.lit(9)).unionByName(t.to_feature_vector(rows, F.lit(9), docs=docs).where("doc_id = 2"))
     got = [tuple(r) for r in t.vector_entries(vectors).orderBy("doc_id", "term_id").collect()]
     assert got == [(None, 9, 0, 3.0), (1, 9, 2, 1e-300), (1, 9, 4, 0.1)]
+
+
+@pytest.mark.parametrize("chunks", [None, 2, 5])
+def test_tfidf_sends_terms_once_and_moves_no_counts(spark, monkeypatch, chunks):
+    rows = [(k, line) for k, line in enumerate(LINES)] + [(3, "port Übung ß"), (None, "port port"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = t.term_counts(docs).collect()
+    df = {}
+    for r in plain:
+        df[r["term"]] = df.get(r["term"], 0) + 1
+    raw = {(r["doc_id"], r["term"]): (r["tf"], r["tf"] * (math.log(12 / (1 + df[r["term"]])) + 1)) for r in plain}
+    norm = {d: math.sqrt(sum(w * w for (e, _), (_, w) in raw.items() if e == d)) for d, _ in raw}
+    monkeypatch.setattr(t, "CHUNK_ROWS", 7)
+    counts = t.term_counts(docs, chunks=chunks)
+    found = t.tfidf(counts, docs.agg(F.count(F.lit(1))).scalar() - F.lit(1), chunks=chunks)
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["weight"]) for r in found.collect()}
+    assert found.columns == ["doc_id", "term", "tf", "weight"] and found.count() == len(raw)
+    assert got == {k: (tf, pytest.approx(w / norm[k[0]])) for k, (tf, w) in raw.items()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    # Only packed terms go by hash; before, terms and counts went there, and to their document.
+    assert moved and all("_bucket" in x for x in moved)
+
+
+def test_tfidf_of_no_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
+    assert t.tfidf(t.term_counts(docs, chunks=3), F.lit(2), chunks=3).collect() == []
+    assert t.tfidf(t.term_counts(docs), F.lit(2)).collect() == []
