@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.sql import functions as F
 
-from logmetrics.operators import learn
+from logmetrics.operators import descent, learn
 from logmetrics.operators import recovery as rc
 from logmetrics.operators.windows import WindowSpec, sliding_windows, window_slices
 from logmetrics.sources import ledger as store
@@ -162,3 +163,60 @@ def test_window_forecaster(spark, kind):
     assert errors["mae"] < (1e-3 if kind == "linear" else 10)
     with pytest.raises(ValueError):
         learn.window_forecaster(windows, kind="other")
+
+
+def points(spark, n=1024):
+    rng = np.random.default_rng(0)
+    rows = [((rng.normal(size=4) + 1.5 * (k % 3) * np.array([1, -1, 0, 1])).tolist(), k % 3) for k in range(n)]
+    return spark.createDataFrame(rows, "x array<double>, y int")
+
+
+@pytest.mark.parametrize("steps", [0, 1, 3, 20])
+def test_perceptron_takes_the_steps_of_sparks(spark, steps):
+    """128 rows a partition, so that Spark's blocks, whose means it averages, all weigh the same."""
+    rows = points(spark).repartition(8).cache()
+    trainer = MultilayerPerceptronClassifier(layers=[4, 16, 3], featuresCol="x", labelCol="y", maxIter=steps, seed=5)
+    want = trainer.fit(learn.labelled_vectors(rows, "x", "y"))
+    got = learn.mlp_classifier(rows, [4, 16, 3], features="x", label="y", max_iter=steps, seed=5)
+    assert np.allclose(got.weights.toArray(), want.weights.toArray(), rtol=0, atol=1e-8)
+    assert got.getMaxIter() == steps and not got.isSet(got.initialWeights)
+
+
+def test_perceptron_does_not_depend_on_the_layout_and_uses_all_cores(spark, monkeypatch):
+    """Before, one partition was one task, and a partition's last short block weighed as much as a full one."""
+    rows, seen = points(spark, 301).cache(), []
+    whole = descent.whole_gradient
+
+    def noted(packed, tasks, *rest):
+        seen.append((packed.rdd.getNumPartitions(), tasks))
+        return whole(packed, tasks, *rest)
+
+    monkeypatch.setattr(descent, "whole_gradient", noted)
+    monkeypatch.setattr(descent, "PACKED_ROWS", 16)
+    one, many = (
+        learn.mlp_classifier(x, [4, 6, 3], features="x", label="y", max_iter=8).weights.toArray()
+        for x in (rows.coalesce(1), rows.repartition(11))
+    )
+    assert np.allclose(one, many, rtol=0, atol=1e-9)
+    assert set(seen) == {(spark.sparkContext.defaultParallelism,) * 2}
+
+
+def test_perceptron_gradient_is_the_slope_of_its_loss():
+    rng = np.random.default_rng(1)
+    network, x, y = descent.Network((3, 4, 2), hidden="sigmoid"), rng.normal(size=(9, 3)), rng.integers(0, 2, 9)
+    flat = rng.normal(size=network.size)
+    gradient = network.gradient(flat, x, y)[0]
+    for k in range(network.size):
+        step = np.eye(network.size)[k] * 1e-6
+        slope = (network.gradient(flat + step, x, y)[1] - network.gradient(flat - step, x, y)[1]) / 2e-6
+        assert gradient[k] == pytest.approx(slope, abs=1e-6)
+
+
+BAD = ["(array(0D, 1D), null)", "(array(0D, null), 0)", "(null, 0)", "(array(0D), 0)", "(array(0D, 1D), 2)", "(array(0D, 1D), 0.5)"]
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_perceptron_refuses_rows_it_cannot_learn(spark, bad):
+    rows = spark.sql(f"select features, cast(label as double) label from values (array(1D, 1D), 1), {bad} as t(features, label)")
+    with pytest.raises(Exception, match="must"):
+        learn.mlp_classifier(rows, [2, 3, 2], max_iter=2)
