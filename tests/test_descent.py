@@ -119,3 +119,27 @@ def test_many_batches_step_side_by_side(spark, rows, tmp_path, monkeypatch):
         want.step(net.gradient(want.weights, x.reshape(-1, 3), y)[0] / 16, 0.02)
     got, _, _, n = d.lane_steps(blocks.where("lane = 1"), 1, 4, net, d.State.new(net, 0), 0.02)
     assert n == 32 and got.steps == 2 and got.weights == pytest.approx(want.weights)
+
+
+@pytest.mark.parametrize("size", [None, 2 * 16 * 3 * 8, 1])
+def test_a_chained_run_steps_from_batch_to_batch(rows, tmp_path, monkeypatch, size):
+    """With many batches too, and whether a job takes all of an epoch's, two, or a part of one: a plain loop's weights."""
+    if size:
+        monkeypatch.setattr(d, "CHAIN_BYTES", size)
+    monkeypatch.setattr(d, "ROUNDS", 3)
+    monkeypatch.setattr(d, "LANE", 2)
+    net, train = d.forecaster(3, 8), rows.where("id % 4 > 0")
+    got = d.fit_with_checkpoints(
+        train, rows.where("id % 4 = 0"), net, key="id", run_id="r", store=f"{tmp_path}/models", ledger=f"{tmp_path}/ledger",
+        max_epochs=2, label="value", batch_rows=16, block_rows=8, learning_rate=0.02, chained=True,
+    )
+    blocks, batches, _ = d.training_blocks(train, "id", label="value", batch_rows=16, block_rows=8, lane=1)
+    at, want = {}, d.State.new(net, 0)
+    for r in blocks.orderBy("block").collect():
+        at.setdefault(r["batch"], []).append(r)
+    for epoch in (1, 2):
+        for batch in np.random.default_rng([0, epoch]).permutation(batches):
+            x, y = (np.array([v for r in at[batch] for v in r[c]]) for c in "xy")
+            want.step(net.gradient(want.weights, x.reshape(-1, 3), y)[0] / len(y), 0.02)
+    assert batches == 15 and got.steps == want.steps == 30
+    assert got.weights == pytest.approx(want.weights) and got.second == pytest.approx(want.second)
