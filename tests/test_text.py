@@ -207,3 +207,33 @@ def test_tfidf_of_no_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, "a")], "doc_id long, text string")
     assert t.tfidf(t.term_counts(docs, chunks=3), F.lit(2), chunks=3).collect() == []
     assert t.tfidf(t.term_counts(docs), F.lit(2)).collect() == []
+
+
+def test_vectors_from_chunks_equal_joined_ones_and_move_no_rows(spark, capsys):
+    """Terms go to their buckets, nothing is joined or sorted by document; a document may span batches."""
+    lines = [(k, text) for k, text in enumerate([*LINES, None, "", "only once", LINES[0]])] + [(3, "two rows"), (None, "port user")]
+    docs = spark.createDataFrame(lines, "doc_id long, text string")
+    stored = t.term_counts(docs).localCheckpoint()
+    terms = t.vocabulary(stored)
+    joined = t.to_feature_vector(t.tfidf(stored, F.lit(13), terms), t.vocabulary_size(terms))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        counts = t.term_counts(docs, chunks=3)
+        own = t.vocabulary(counts, 3)
+        assert sorted(own.collect()) == sorted(terms.collect())
+        weights = t.tfidf(counts, F.lit(13), own, chunks=3)
+        vectors = t.to_feature_vector(weights, t.vocabulary_size(own), together=True)
+        vectors.explain("simple")
+        plan = capsys.readouterr().out
+        assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(term" not in plan
+        got, want = ({r["doc_id"]: r["features"] for r in v.collect()} for v in (vectors, joined))
+        some = t.tfidf(counts, F.lit(13), own.where("term <> 'port'"), chunks=3)  # a term that is not in the table
+        fewer = {(r["doc_id"], r["term"]): r["weight"] for r in some.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) == 12
+    for doc, vector in want.items():
+        assert got[doc].size == vector.size and got[doc].indices.tolist() == vector.indices.tolist()
+        assert got[doc].values.tolist() == pytest.approx(vector.values.tolist())
+    old = t.tfidf(stored, F.lit(13), terms.where("term <> 'port'")).collect()
+    assert fewer == pytest.approx({(r["doc_id"], r["term"]): r["weight"] for r in old})
